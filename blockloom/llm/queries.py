@@ -9,6 +9,7 @@ from .common import table
 #: name: (module, function, table, has SQL)
 _QUERIES = {
     "op3_mix_sources": ("mixing", "op3", "documents", True),
+    "op4_near_dedup": ("neardup", "op4", "documents", True),
     "op5_license_scan": ("licenses", "op5", "documents", True),
     "op7_line_dedup": ("lines", "op7", "documents", True),
     "op8_token_planes": ("bitplane", "op8", "documents", False),
