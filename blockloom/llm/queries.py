@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_mix_sources": ("mixing", "op3", "documents", True),
     "op4_near_dedup": ("neardup", "op4", "documents", True),
     "op5_license_scan": ("licenses", "op5", "documents", True),
+    "op6_suffix_dedup": ("repeats", "op6", "documents", False),
     "op7_line_dedup": ("lines", "op7", "documents", True),
     "op8_token_planes": ("bitplane", "op8", "documents", False),
     "op9_pack_windows": ("packing", "op9", "documents", False),
