@@ -3,6 +3,9 @@ documents that lose too much text are rejected. DataFrame functions only; nothin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ BOILERPLATE = (
     "accept all cookies", "we use cookies", "enable javascript", "javascript is disabled", "terms of use", "privacy policy",
     "click here to", "sign up for our newsletter", "subscribe to our newsletter", "skip to content", "back to top", "lorem ipsum",
 )
+MARKS = SYMBOLS + "!»"
 SEPARATORS, MAX_ITEM_WORDS = "|>»", 4
 #: A line fails when symbols (or exclamation marks) are more than this percentage of its characters.
 MAX_MARK_PCT = 10
@@ -26,16 +30,30 @@ def _without(c: Column, chars: str) -> Column:
     return F.translate(c, chars, "")
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation: symbols or exclamation marks are over MAX_MARK_PCT of the characters. Navigation: two or more of
-    | > » with at most MAX_ITEM_WORDS words to each of them. Boilerplate: a known phrase. A blank line never fails."""
-    chars = F.length(_without(line, WS_CHARS))
-    marks = chars - F.length(_without(line, WS_CHARS + SYMBOLS))
-    bangs = chars - F.length(_without(line, WS_CHARS + "!"))
-    parts = F.length(line) - F.length(_without(line, SEPARATORS))
-    navigation = (parts >= 2) & (F.regexp_count(line, F.lit(WORD)) <= MAX_ITEM_WORDS * parts)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (chars > 0) & ((marks * 100 > MAX_MARK_PCT * chars) | (bangs * 100 > MAX_MARK_PCT * chars) | navigation | boilerplate)
+def line_stats(lines: Column) -> Column:
+    """For each line a struct: the line, chars (without white space), marks, bangs, parts, bad. The nested calls pass
+    over a line twice; the marks are counted only in a line that has any.
+
+    Punctuation: symbols or exclamation marks are over MAX_MARK_PCT of the characters. Navigation: two or more of | > »
+    with at most MAX_ITEM_WORDS words to each of them. Boilerplate: a known phrase. A blank line is never bad."""
+    dense = F.transform(lines, lambda x: F.struct(x.alias("line"), _without(x, WS_CHARS).alias("dense")))
+    marked = F.transform(dense, lambda x: F.struct(x["line"].alias("line"), x["dense"].alias("dense"), F.length(x["dense"]).alias("chars"), (F.length(_without(x["dense"], MARKS)) < F.length(x["dense"])).alias("any")))
+
+    def count(x: Column, chars: str) -> Column:
+        return F.when(x["any"], x["chars"] - F.length(_without(x["dense"], chars))).otherwise(0)
+
+    counted = F.transform(marked, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), count(x, SYMBOLS).alias("marks"), count(x, "!").alias("bangs"), count(x, SEPARATORS).alias("parts"), F.lower(x["line"]).alias("low")))
+
+    def bad(x: Column) -> Column:
+        pct = (x["marks"] * 100 > MAX_MARK_PCT * x["chars"]) | (x["bangs"] * 100 > MAX_MARK_PCT * x["chars"])
+        navigation = (x["parts"] >= 2) & (F.regexp_count(x["line"], F.lit(WORD)) <= MAX_ITEM_WORDS * x["parts"])
+        return (x["chars"] > 0) & (pct | navigation | reduce(or_, [F.contains(x["low"], F.lit(b)) for b in BOILERPLATE]))
+
+    return F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), x["marks"].alias("marks"), bad(x).alias("bad")))
+
+
+def _sum(lines: str, value) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + value(x))
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,33 +61,30 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     _bad_chars, _kept and _clean (the text without failing lines). A null or empty text has no words and fails. Equal
     rows get equal verdicts; every other column passes through untouched."""
     w = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    w = w.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), 0), "_l": F.split("_t", "\n", -1)})
+    w = w.withColumns({"_w": F.transform(F.regexp_extract_all("_t", F.lit(WORD), 0), lambda x: F.xxhash64(x)), "_l": line_stats(F.split("_t", "\n", -1))})
     n = F.size("_w")
     # a hash for each window of five words; only texts in which one returns are sorted
     w = w.withColumns({
         "_n_words": n.cast("long"),
-        "_word_chars": F.length(_without(F.col("_t"), WS_CHARS)).cast("long"),
-        "_n_symbols": (F.length("_t") - F.length(_without(F.col("_t"), SYMBOLS))).cast("long"),
-        "_full": F.filter("_l", lambda x: _without(x, WS_CHARS) != ""),
+        "_word_chars": _sum("_l", lambda x: x["chars"]),
+        "_n_symbols": _sum("_l", lambda x: x["marks"]),
+        "_bad_chars": _sum("_l", lambda x: F.when(x["bad"], x["chars"]).otherwise(0)),
+        "_n_bad_lines": _sum("_l", lambda x: x["bad"].cast("int")),
+        "_full": F.transform(F.filter("_l", lambda x: x["chars"] > 0), lambda x: x["line"]),
         "_g": F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))),
-        "_bad": F.transform("_l", line_fails),
+        "_clean": F.array_join(F.transform(F.filter("_l", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"),
     })
     w = w.withColumns({
         "_n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         "_s": F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
-        "_ok": F.filter("_l", lambda x, i: ~F.get("_bad", i)),
-        "_n_bad_lines": F.size(F.filter("_bad", lambda x: x)).cast("long"),
     })
     twice = F.filter("_s", lambda x, j: (x["h"] == F.get("_s", j - 1)["h"]) | (x["h"] == F.get("_s", j + 1)["h"]))
     w = w.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate("_p", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
-    w = w.withColumns({"_n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "_clean": F.array_join("_ok", "\n")})
-    w = w.withColumns({
-        "_base_failed": (F.col("_n_words") < MIN_WORDS) | (F.col("_n_repeat_words") * 100 > MAX_REPEAT_PCT * F.col("_n_words")),
-        "_bad_chars": F.col("_word_chars") - F.length(_without(F.col("_clean"), WS_CHARS)),
-    })
+    w = w.withColumn("_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    w = w.withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (F.col("_n_repeat_words") * 100 > MAX_REPEAT_PCT * F.col("_n_words")))
     kept = ~F.col("_base_failed") & ((F.col("_word_chars") - F.col("_bad_chars")) * 100 >= MIN_KEPT_PCT * F.col("_word_chars"))
-    return w.withColumn("_kept", kept).drop("_t", "_w", "_l", "_full", "_g", "_bad", "_s", "_ok", "_p")
+    return w.withColumn("_kept", kept).drop("_t", "_w", "_l", "_full", "_g", "_s", "_p")
 
 
 def op10(docs: DataFrame) -> DataFrame:
