@@ -8,6 +8,8 @@ from .common import table
 
 #: name: (module, function, table, has SQL)
 _QUERIES = {
+    "op1_warc_fixity": ("warc", "op1", "pages", True),
+    "op2_tree_neighbours": ("neighbours", "op2", "embeddings", False),
     "op3_mix_sources": ("mixing", "op3", "documents", True),
     "op4_near_dedup": ("neardup", "op4", "documents", True),
     "op5_license_scan": ("licenses", "op5", "documents", True),
