@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, lower_az
+from .common import doc_key, lower_az, materialise
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
@@ -55,6 +55,7 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> D
     t = template_grams(spark, templates).withColumnRenamed("gram", "tgram").withColumn("hash", F.xxhash64("tgram"))
     hits = g.join(F.broadcast(t), "hash").filter(F.col("gram") == F.col("tgram"))
     votes = hits.groupBy("dk", "th", "template", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = materialise(votes, "votes")
     exact = votes.filter(F.col("base") & (F.size("at") == F.col("n_grams"))).select("dk", "th", "template", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + K - 1).alias("end"), F.lit(1.0).alias("share"))
     by = Window.partitionBy("dk", "th", "template").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal", 1, -(2**30)).over(by) > NEAR).cast("int")
