@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from .common import lookup, materialise
 
 K, EVERY = 20, 20
-#: The tree is fitted on at most SAMPLE rows (chosen by a hash), split into BRANCH until a node has LEAF of them or fewer.
-SAMPLE, BRANCH, LEAF, ROUNDS = 16_384, 8, 48, 8
+#: The tree is fitted on at most SAMPLE rows (chosen by a hash), split into BRANCH until a node stands for LEAF_ROWS rows
+#: of the table or fewer, or has LEAF rows of the sample.
+SAMPLE, BRANCH, LEAF, LEAF_ROWS, ROUNDS = 16_384, 8, 48, 1024, 8
 #: Recall wanted, and on how many queries (chosen by a hash, compared with all rows) it is calibrated.
-RECALL, PROBES = 0.97, 256
+RECALL, PROBES = 0.95, 256
 #: Vectors of a leaf, and visits to it, that one task holds together.
 BLOCK = 4096
 
@@ -157,7 +158,8 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
     cells = first.groupBy("d").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     cells = materialise(cells, "cells")
     order = F.xxhash64("d", F.lit(1))
-    tree = Tree(np.array([np.frombuffer(r.v, np.float64) for r in cells.orderBy(order).select("v").limit(sample).collect()]))
+    picked = np.array([np.frombuffer(r.v, np.float64) for r in cells.orderBy(order).select("v").limit(sample).collect()])
+    tree = Tree(picked, least=max(LEAF, LEAF_ROWS * len(picked) // cells.count()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,10 +217,9 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
                     for i in range(n, len(at), 256):
                         qs = part.slice(i, 256)
                         s = _array(qs.column("v"), dim) @ x.T
-                        top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                        for d, t, r in zip(qs.column("d").to_pylist(), top, s):
-                            # among equal scores at the edge of the list any entry may hold the least id
-                            t = np.flatnonzero(r >= r[t[-1]]) if len(t) == k + 1 else t
+                        edge = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k + 1 else s.min(axis=1)
+                        for d, e, r in zip(qs.column("d").to_pylist(), edge, s):
+                            t = np.flatnonzero(r >= e)  # among equal scores at the edge any entry may hold the least id
                             best = _best([([r[j]] * len(ids[j]), ids[j]) for j in t.tolist()], k + 1)
                             found.append((d, [-y for y, _ in best], [z for _, z in best]))
             if found:
