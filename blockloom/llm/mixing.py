@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, doc_key, materialise
 
 WEIGHTS, MAX_UPSAMPLING, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -79,7 +79,7 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: each document as many times as it is emitted, with the columns of docs."""
-    keyed = docs.withColumns({"_size": n_words(F.col("text")), "_id": F.struct("doc_id", F.xxhash64("text"))})
+    keyed = docs.withColumns({"_size": n_words(F.col("text")), "_id": F.struct(*doc_key())})
     plan = plan_mix(keyed.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size")))
     # repeated rows share an id: their copies add up and are dealt out again over the repeats
     n = plan.groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")).select(F.col("doc_id").alias("_id"), "_c", "_m").filter("_c > 0")
