@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +20,30 @@ from .tokens import slices
 #: 25 bands of 5 bins: a pair at similarity 0.85 shares a bucket but for 4 in 10 million.
 BINS, BANDS = 128, 25
 MIN_PCT = 85
-#: Members of a center that one task confirms; members of a bucket that one task compares by signature.
-SALTED, BLOCK = 512, 2048
-#: Standard deviations that a signature's estimate may lie under the threshold before a pair is passed over.
-DEVIATIONS = 5
-_SIGNED = "doc_id long, dk long, th long, n long, node binary, bands array<long>, sig binary"
+#: Members and shingles of a block of a group; hashes that are compared at once.
+BLOCK, SHINGLES, COLUMNS = 1024, 2_000_000, 2048
+_SIGNED = "doc_id long, dk long, th long, n long, node binary, bands array<long>"
 
 
 def signatures(docs: DataFrame, bins: int = BINS, bands: int = BANDS) -> DataFrame:
     """A row for each document: number of shingles, a 128-bit digest of the set (the node it belongs to: documents with
-    equal sets are one node), its bucket in each band and a byte of each bin. Written once to the shared folder."""
+    equal sets are one node), and its bucket in each band. Written once to the shared folder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bins, bands)
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in slices(len(texts), [len(t) for t in texts], 4_000_000):
-                n, node, keys, sigs = [], [], [], []
+                n, node, keys = [], [], []
                 for s in shingle_sets(texts[i:j]):
                     n.append(len(s))
                     if len(s):
-                        sig = signer.sign(s)
                         node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        keys.append(signer.band_keys(sig).view(np.int64))
-                        sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+                        keys.append(signer.band_keys(signer.sign(s)).view(np.int64))
                     else:
-                        node.append(None), keys.append(None), sigs.append(None)
+                        node.append(None), keys.append(None)
                 cols = [b.column(c).slice(i, j - i) for c in ("doc_id", "dk", "th")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], [x.split()[0] for x in _SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in _SIGNED.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), F.coalesce("text", F.lit("")).alias("text"))
     return materialise(rows.mapInArrow(sign, _SIGNED), "signatures")
@@ -66,88 +63,96 @@ def star_edges(nodes: DataFrame) -> DataFrame:
     return e.filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
 
-def cross_edges(nodes: DataFrame, labels: DataFrame, bins: int, min_pct: int) -> DataFrame:
-    """(a, b): pairs in a bucket whose members still lie in several components, of different components, whose sizes and
-    signatures allow the threshold. What a star's center has not linked is found here. Buckets of over BLOCK members are
-    compared in blocks, each pair of blocks in a task of its own; a pair that is compared is not a row unless it passes."""
-    m = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    m = materialise(m.select("node", "label", "n", "sig", "bands"), "labelled")
-    each = m.select("node", "label", "n", "sig", F.explode("bands").alias("key"))
-    open_ = each.select("key", "label").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("w")).filter("lo != hi")
-    open_ = materialise(open_.select("key", "w", F.ceil(F.col("w") / BLOCK).alias("g")), "open-buckets")
-    total = open_.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    rows = lookup(each, open_, ["key"], "inner", "w", total)
-    mine = F.pmod(F.xxhash64("node"), F.col("g"))
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    least = min_pct / 100 - DEVIATIONS * (min_pct / 100 * (1 - min_pct / 100) / bins) ** 0.5
-
-    def compare(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        t = t.sort_by([("n", "ascending"), ("node", "ascending")])
-        n, mine = t.column("n").to_numpy(), t.column("mine").to_numpy()
-        node = t.column("node").to_pylist()
-        _, label = np.unique(np.array(t.column("label").to_pylist(), dtype="S16"), return_inverse=True)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        found = []
-        ends = np.searchsorted(n, n * 100 // min_pct, side="right")  # a larger set than that can't reach the threshold
-        for k in range(len(node)):
-            r = np.arange(k + 1, ends[k])
-            r = r[(label[r] != label[k]) & ((mine[r] != mine[k]) if i != j else True)]
-            if len(r):
-                same = ((sig[r] == sig[k]).mean(axis=1) - 1 / 256) * (256 / 255)
-                found += [(node[k], node[x]) for x in r[same >= least]]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
-
-    pairs = rows.select("key", "i", "j", "node", "label", "n", "sig", "mine").groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def confirm(edges: DataFrame, nodes: DataFrame, docs: DataFrame, min_pct: int) -> DataFrame:
-    """The edges with 100 * intersection >= min_pct * union of the full sets.
-
-    A set is made anew from the text of one document of its node and sent to the centers it is compared with; the center's
-    own set is sent once to each salt, SALTED members or fewer. Within a task rows come sorted, center first, so only one
-    center's set is held however many members it has."""
-    edges = materialise(edges, "candidates")
-    degree = edges.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("salts"))
-    e = edges.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    to = e.groupBy("b").agg(F.collect_list(F.struct("a", "salt")).alias("to")).withColumnRenamed("b", "node")
-    own = degree.withColumnRenamed("a", "node")
-    wanted = to.join(own, "node", "full").join(nodes.select("node", "dk", "th"), "node").select("dk", "th", "node", "to", "salts")
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections: 0/1 matrices over the hashes that several sets have, COLUMNS at a time."""
+    sets = left if left is right else left + right
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    owner, column = owner[keep], shared[at[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (c, c + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:b], column[a:b] - c] = 1
+        out += m @ m.T if left is right else m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what `link`, a symmetric matrix, connects: one less than the members of each component."""
+    out, todo = [], np.ones(len(link), bool)
+    for root in range(len(link)):
+        if todo[root]:
+            todo[root], stack = False, [root]
+            while stack:
+                x = stack.pop()
+                found = np.flatnonzero(link[x] & todo)
+                todo[found] = False
+                stack += found.tolist()
+                out += [(x, y) for y in found.tolist()]
+    return out
+
+
+def confirm(stars: DataFrame, nodes: DataFrame, docs: DataFrame, min_pct: int) -> DataFrame:
+    """(a, b): links with 100 * intersection >= min_pct * union of the full sets, enough of them to connect what is linked.
+
+    Nodes that stars connect lie together in a group, so all pairs that share a bucket do. A set is made anew from the text
+    of one document of its node and sent to its group's task, which compares exactly and gives no more rows than the group
+    has members. A group of over BLOCK members or SHINGLES shingles is dealt into blocks by a hash, and a task gets two of
+    them, so no task holds more, and every pair of the group still meets in one."""
+    groups = components(stars)
+    groups = materialise(groups.withColumnRenamed("label", "grp").join(nodes.select("node", "dk", "th", "n"), "node"), "groups")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("w"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("g"))
+    wanted = lookup(groups, materialise(sizes, "group-sizes"), ["grp"], "inner", "w", groups.count())
+    wanted = wanted.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g"))).select("dk", "th", "node", "grp", "g", "mine")
     texts = docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["dk", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("a", "salt", "member", "b", "set")
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        for b in batches:
-            text, node, to, salts = (b.column(c).to_pylist() for c in ("text", "node", "to", "salts"))
-            for i, j in slices(len(text), [len(t) for t in text], 2_000_000):
+        names = ("grp", "i", "j", "node", "mine", "shingles")
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        for batch in batches:
+            text, node, grp, g, mine = (batch.column(c).to_pylist() for c in ("text", "node", "grp", "g", "mine"))
+            for x, y in slices(len(text), [len(t) for t in text], 2_000_000):
                 rows = []
-                for k, s in zip(range(i, j), shingle_sets(text[i:j])):
+                for k, s in zip(range(x, y), shingle_sets(text[x:y])):
                     data = s.tobytes()
-                    rows += [(node[k], x, 0, node[k], data) for x in range(salts[k] or 0)]
-                    rows += [(x["a"], x["salt"], 1, node[k], data) for x in to[k] or ()]
+                    rows += [(grp[k], min(mine[k], o), max(mine[k], o), node[k], mine[k], data) for o in range(g[k])]
+                    if len(rows) > 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+    def compare(members: list[tuple]) -> list[tuple[bytes, bytes]]:
+        """members: (i, j, node, mine, set) of one task; a row that came twice counts once."""
+        members = list({m[2]: m for m in members}.values())
+        i, j = members[0][:2]
+        left, right = ([m for m in members if m[3] == k] for k in (i, j))
+        a = [np.frombuffer(m[4], np.uint64) for m in left]
+        b = a if i == j else [np.frombuffer(m[4], np.uint64) for m in right]
+        if len(a) * len(b) == 0:
+            return []
+        both, na, nb = _intersections(a, b).astype(np.float64), np.array([len(s) for s in a]), np.array([len(s) for s in b])
+        link = 100 * both >= min_pct * (na[:, None] + nb[None, :] - both)
+        if i != j:
+            square = np.zeros((len(a) + len(b),) * 2, bool)
+            square[: len(a), len(a) :], square[len(a) :, : len(a)] = link, link.T
+            left, link = left + right, square
+        return [(left[x][2], left[y][2]) for x, y in _forest(link)]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        center, mine, seen = None, None, None
-        for batch in batches:
-            found = []
-            for a, member, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "member", "b", "set"))):
-                s = np.frombuffer(data, np.uint64)
-                if not member:
-                    center, mine = a, s
-                elif center == a and (a, b) != seen:
-                    seen = (a, b)
-                    common = len(np.intersect1d(mine, s, assume_unique=True))
-                    if 100 * common >= min_pct * (len(mine) + len(s) - common):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ("a", "b"))
-
-    sent = texts.mapInArrow(send, "a binary, salt long, member long, b binary, set binary")
-    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "b").mapInArrow(check, "a binary, b binary")
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "node", "mine", "shingles"))))
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            found = compare([r[1:] for r in group])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ("a", "b"))
+
+    sent = texts.mapInArrow(send, "grp binary, i long, j long, node binary, mine long, shingles binary")
+    return sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(check, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, min_pct: int = MIN_PCT, bins: int = BINS, bands: int = BANDS) -> DataFrame:
@@ -158,13 +163,10 @@ def near_duplicates(docs: DataFrame, min_pct: int = MIN_PCT, bins: int = BINS, b
     id that is there; a component of such rows alone has none. Repeated rows get the same answer."""
     docs = docs.select("doc_id", "text")
     t = signatures(docs, bins, bands)
-    nodes = t.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("dk", "th")).alias("of"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes.select("node", "least", "of.dk", "of.th", "w", "n", "bands", "sig"), "nodes")
+    nodes = t.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("dk", "th")).alias("of"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select("node", "least", "of.dk", "of.th", "w", "n", "bands"), "nodes")
     links = materialise(confirm(star_edges(nodes), nodes, docs, min_pct), "links")
     labels = components(links)
-    more = materialise(confirm(cross_edges(nodes, labels, bins, min_pct), nodes, docs, min_pct), "more-links")
-    if more.head(1):
-        labels = components(links.unionByName(more))
     labels = nodes.select("node", "least", "w").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = materialise(labels, "labels")
     heads = labels.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
