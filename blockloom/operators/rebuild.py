@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..codecs import codec_of, sevenz
+from ..model import ContainerFormat
+
 
 def concat_blocks(refs: DataFrame, blocks: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """keys, payload: the blocks of each key in order (blocks: one row a hash, see store.distinct_blocks). References meet blocks by hash; a key's blocks are then streamed
@@ -44,8 +47,6 @@ def verified(rebuilt: DataFrame, expected: DataFrame, keys: list[str]) -> DataFr
 
 def rebuild_versions(nodes: DataFrame, refs: DataFrame, blocks: DataFrame) -> DataFrame:
     """version_id, payload: containers are rebuilt from the deepest level up, every one of a level in its own task."""
-    from ..codecs import codec_of
-
     blobs = nodes.filter("kind = 'blob'").select("version_id", "path", "depth")
     made = concat_blocks(refs, blocks, ["version_id", "path"])
     now = blobs.join(made, ["version_id", "path"], "left").withColumn("payload", F.coalesce("payload", F.lit(b"")))
@@ -63,10 +64,24 @@ def rebuild_versions(nodes: DataFrame, refs: DataFrame, blocks: DataFrame) -> Da
                 data = codec_of(fmt).rebuild(meta, [p[2] for p in parts])
                 yield pa.RecordBatch.from_arrays([pa.array([version]), pa.array([list(path)], pa.list_(pa.int32())), pa.array([len(path) - 1], pa.int32()), pa.array([data], pa.binary())], ["version_id", "path", "depth", "payload"])
 
-        built = rows.repartition("version_id", "path").sortWithinPartitions("version_id", "path", "_k").mapInArrow(build, "version_id string, path array<int>, depth int, payload binary")
+        seven = boxes.filter(F.col("format") == int(ContainerFormat.SEVEN_Z)).select("version_id", "path")
+        late, rows = rows.join(seven, ["version_id", "path"], "left_semi"), rows.join(seven, ["version_id", "path"], "left_anti")
+        built = rows.select("version_id", "path", "_k", "payload", "format").repartition("version_id", "path").sortWithinPartitions("version_id", "path", "_k").mapInArrow(build, "version_id string, path array<int>, depth int, payload binary")
         now = now.filter(F.col("depth") <= d).unionByName(built)
+        if seven.head(1):
+            now = now.unionByName(_seven_z(late))
     return now.filter("depth = 0").select("version_id", "payload")
 
 
+def _seven_z(rows: DataFrame) -> DataFrame:
+    """7z containers are put together on the driver, one at a time."""
+    out = []
+    ordered = rows.orderBy("version_id", "path", "_k").toLocalIterator()
+    for (version, path), group in groupby(ordered, key=lambda r: (r.version_id, tuple(r.path))):
+        meta, *parts = [bytes(r.payload) for r in group]
+        out.append((version, list(path), len(path) - 1, bytearray(sevenz.rebuild(rows.sparkSession, meta, parts))))
+    return rows.sparkSession.createDataFrame(out, "version_id string, path array<int>, depth int, payload binary")
+
+
 def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
