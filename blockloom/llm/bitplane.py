@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
-from .tokens import encoder, slices, vocabulary
+from .tokens import encoder, parts, vocabulary
 
 MAGIC, BLOCK, LEVEL = b"BLPLANE1", 65_536, 3
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -154,9 +154,8 @@ def write_tokens(docs: DataFrame, file: str, spaces: str, end: int, kind: int =
         with _writing(path) as out:
             w = Writer(out, kind)
             while first is not None:
-                ids, texts = first.column(0).to_pylist(), first.column(1).to_pylist()
-                for a, b in slices(len(ids), [len(t) for t in texts]):
-                    for doc_id, x in zip(ids[a:b], enc.encode(texts[a:b])):
+                for part in parts(first):
+                    for doc_id, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
                         w.add(doc_id, x + tail)
                 first = next(batches, None)
             w.close()

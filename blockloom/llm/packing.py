@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import encoder, slices, vocabulary
+from .tokens import encoder, parts, vocabulary
 
 VOCABULARY, END, WINDOW = "byte_bpe_50k.json", 0, 1024
 #: Open windows of a partition; a window with at most SLACK free places is emitted as it is, one with more is first
@@ -131,34 +131,33 @@ def pack(docs: DataFrame, file: str, spaces: str, end: int, window: int = WINDOW
     A null or empty text is its end id alone; equal rows are packed like any others; sequence ids are unique, not dense."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, tail = TaskContext.get().partitionId(), encoder(file, spaces), end.to_bytes(4, "little")
+        here, enc, tail = TaskContext.get().partitionId(), encoder(file, spaces), end.to_bytes(4, "little")
 
         def pieces() -> Iterator[Piece]:
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for i, j in slices(len(ids), [len(t) for t in texts]):
-                    for doc, x in zip(ids[i:j], enc.encode(texts[i:j])):
+                for part in parts(b):
+                    for doc, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
                         yield doc, 0, x + tail, len(x) // 4 + 1
 
-        yield from _pack(pieces(), window, most, part << 36, part)
+        yield from _pack(pieces(), window, most, here << 36, here)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     done = materialise(rows.mapInArrow(first, SCHEMA), "packed")
-    parts, turn = 1 + (done.agg(F.max("rest")).first()[0] or 0), 0
+    left, turn = 1 + (done.agg(F.max("rest")).first()[0] or 0), 0
     out = done.filter(F.col("rest").isNull())
     rests = done.filter(F.col("rest").isNotNull())
     while True:
         turn += 1
-        parts = -(-parts // MERGE)
+        left = -(-left // MERGE)
 
-        def again(key, t, turn=turn, last=parts == 1):
+        def again(key, t, turn=turn, last=left == 1):
             t = t.sort_by([("rest", "ascending"), ("offset", "ascending")])
             pieces = zip(*(t.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")))
             got = list(_pack(pieces, window, most, (turn << 58) + (key[0].as_py() << 36), None if last else key[0].as_py()))
             return pa.Table.from_batches(got)
 
         merged = rests.groupBy(F.floor(F.col("rest") / MERGE).alias("group")).applyInArrow(_with(again), SCHEMA)
-        if parts == 1:
+        if left == 1:
             return out.unionByName(merged).drop("rest", "ids")
         merged = materialise(merged, "packed-rests")
         out = out.unionByName(merged.filter(F.col("rest").isNull()))
