@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -31,13 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of whole texts go to Python workers in batches of this size, so that neither side holds much of a partition.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a scan of it: lineage ends at files that survive
     the loss of any executor, and what several branches read is computed once. Folders lie under
     <shared>/blockloom-<application id>/ and can be deleted once the application's results are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/blockloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
