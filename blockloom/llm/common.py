@@ -59,6 +59,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """_row, the whole row as one struct, beside _t, its text (null: empty): whatever else docs has, no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of docs again, those in `changed` anew, and `more` of df (in place of columns of docs so named)."""
+    changed = changed or {}
+    cols = [(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in more]
+    return df.select(*cols, *more)
+
+
+def with_text(docs: DataFrame, text: Column) -> dict[str, Column]:
+    """A new text, and n_chars after it where docs has one."""
+    return {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+
+
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, doc_key, lookup, lower_az, materialise
+from .common import WS_CHARS, boxed, doc_key, lookup, lower_az, materialise, unboxed, with_text
 
 MIN_DOCS, MIN_POINTS = 10, 1
 
@@ -18,7 +18,12 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_
     in at least min_docs documents lose all their lines. A null text is one empty line; blank lines have no key and stay.
     Documents count by id, so repeated rows count once; all rows without an id count as one document. Only digests are shuffled to count; a hot line is
     counted by partial sums and found again by a broadcast of fewer than HOT_PARTS keys."""
-    keyed = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    return unboxed(_drop_lines(docs, min_docs, min_points, text), docs, more=("_n_lines", "_n_dropped", "_clean"))
+
+
+def _drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS, text: str = "text") -> DataFrame:
+    """boxed() rows with _n_lines, _n_dropped, _clean."""
+    keyed = boxed(docs, text).withColumn("doc_id", F.col("_row.doc_id"))
     rows = keyed.select(*doc_key(text="_t"), F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line"))
     key = F.btrim(lower_az(F.col("line")), F.lit(WS_CHARS))
     rows = materialise(rows.withColumn("k", key).filter(F.length("k") >= max(1, min_points)).select("dk", "th", "pos", F.unhex(F.md5("k")).alias("h")), "lines")
@@ -31,7 +36,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_
     out = out.withColumn("_l", lines).withColumn("_n_lines", F.size("_l").cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_drop"))
     clean = F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n"))
-    return out.withColumns({"_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "_clean": clean}).drop("_t", "_l", "_drop", "dk", "th")
+    return out.withColumns({"_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "_clean": clean}).select("_row", "_n_lines", "_n_dropped", "_clean")
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -41,9 +46,8 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents without their dropped lines; one that has no line left goes."""
-    d = line_dedup(docs)
-    out = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast("long")} if "n_chars" in docs.columns else {})
-    return d.filter((F.col("_n_dropped") == 0) | (F.col("_n_dropped") < F.col("_n_lines"))).withColumns(out).select(*docs.columns)
+    d = _drop_lines(docs).filter((F.col("_n_dropped") == 0) | (F.col("_n_dropped") < F.col("_n_lines")))
+    return unboxed(d, docs, with_text(docs, F.col("_clean")))
 
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_key, materialise
+from .common import WORD, boxed, doc_key, materialise, unboxed
 
 WEIGHTS, MAX_UPSAMPLING, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -79,14 +79,16 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: each document as many times as it is emitted, with the columns of docs."""
-    keyed = docs.withColumns({"_size": n_words(F.col("text")), "_id": F.struct(*doc_key())})
-    plan = plan_mix(keyed.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size")))
+    keyed = boxed(docs).withColumns({"doc_id": F.col("_row.doc_id"), "_size": n_words(F.col("_t"))})
+    keyed = keyed.select("_row", "_size", F.struct(*doc_key(text="_t")).alias("_id"))
+    plan = plan_mix(keyed.select(F.col("_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_size").alias("size")))
     # repeated rows share an id: their copies add up and are dealt out again over the repeats
     n = plan.groupBy("doc_id").agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")).select(F.col("doc_id").alias("_id"), "_c", "_m").filter("_c > 0")
     again = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))
     out = keyed.join(n, "_id").withColumn("_q", F.when(F.col("_m") > 1, again).otherwise(1))
     mine = F.floor(F.col("_q") * F.col("_c") / F.col("_m")) - F.floor((F.col("_q") - 1) * F.col("_c") / F.col("_m"))
-    return out.withColumn("_mine", mine.cast("int")).filter("_mine > 0").withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_mine")))).select(*docs.columns)
+    out = out.withColumn("_mine", mine.cast("int")).filter("_mine > 0").withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_mine"))))
+    return unboxed(out, docs)
 
 
 SQL = rf"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, lookup, materialise
+from .common import boxed, doc_key, lookup, materialise, unboxed
 from .components import components
 from .shingles import Signer, shingle_sets
 from .tokens import slices
@@ -185,8 +185,8 @@ def op4(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the least id; rows without an id stay where no row of their group has one."""
     keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("dk", "th").distinct()
-    keyed = docs.withColumns(dict(zip(("dk", "th"), doc_key()))).join(keep, ["dk", "th"], "left_semi")
-    return keyed.dropDuplicates(["dk", "th"]).select(*docs.columns)
+    keyed = boxed(docs).withColumn("doc_id", F.col("_row.doc_id")).select("_row", *doc_key(text="_t")).join(keep, ["dk", "th"], "left_semi")
+    return unboxed(keyed.dropDuplicates(["dk", "th"]), docs)
 
 
 SQL = r"""

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CHARS
+from .common import WORD, WS_CHARS, boxed, unboxed, with_text
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate of web pages.
@@ -26,6 +26,9 @@ MIN_KEPT_PCT = 50
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
 
 
+METRICS = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_n_bad_lines", "_bad_chars", "_kept", "_clean")
+
+
 def _without(c: Column, chars: str) -> Column:
     return F.translate(c, chars, "")
 
@@ -59,8 +62,12 @@ def _sum(lines: str, value) -> Column:
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with columns _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _n_bad_lines,
     _bad_chars, _kept and _clean (the text without failing lines). A null or empty text has no words and fails. Equal
-    rows get equal verdicts; every other column passes through untouched."""
-    w = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    rows get equal verdicts; every other column passes through untouched, whatever its name."""
+    return unboxed(_judge(boxed(docs, text)), docs, more=METRICS)
+
+
+def _judge(w: DataFrame) -> DataFrame:
+    """boxed() rows with METRICS."""
     w = w.withColumns({"_w": F.transform(F.regexp_extract_all("_t", F.lit(WORD), 0), lambda x: F.xxhash64(x)), "_l": line_stats(F.split("_t", "\n", -1))})
     n = F.size("_w")
     # a hash for each window of five words; only texts in which one returns are sorted
@@ -96,9 +103,8 @@ def op10(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """Documents that pass, without their failing lines. The verdict is applied by a generator: a filter would be pushed
     below the arrays it is made of, and each would be made again for every element that looks at it."""
-    q = quality(docs).withColumn("_", F.explode(F.when(F.col("_kept"), F.array(F.lit(0)))))
-    out = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast("long")} if "n_chars" in docs.columns else {})
-    return q.withColumns(out).select(*docs.columns)
+    q = _judge(boxed(docs)).withColumn("_", F.explode(F.when(F.col("_kept"), F.array(F.lit(0)))))
+    return unboxed(q, docs, with_text(docs, F.col("_clean")))
 
 
 SQL = rf"""
