@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Pieces remembered by one Python worker before it forgets the rarer ones.
 MAX_CACHED = 500_000
 #: Pieces encoded as one text, and marks that are neither letters nor digits to anybody.
-_WORDS = 500
+_WORDS = 1000
 _MARKS = ',.!?;:$&%#*|'
 #: A single space before a character that is white space to nobody.
 _BEFORE_WORD = re.compile(" (?=[^\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff])")
@@ -81,6 +81,7 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         if self.dropped:
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z, as the tokenizer will
             for c in "\t\n\x0b\x0c\r":
                 if c in text:
                     text = text.replace(c, " ")
