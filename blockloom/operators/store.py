@@ -39,8 +39,7 @@ class BlockStore:
 
     def __init__(self, spark: SparkSession, path: str, params: ChunkParams, force: bool = False) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs, self._path = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.__class__
+        self._fs = self._of("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         wanted = {"formatVersion": 1, "hashAlgorithm": model.HASH_ALGORITHM, "chunkMin": params.min, "chunkAvg": params.avg, "chunkMax": params.max}
         have = self._params()
         if have and have != wanted:

@@ -312,6 +312,29 @@ CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - (block_bytes + blocks_missing * 37
         ).select("id", "path", "action"),
         f"WITH f AS (SELECT *, {_ID} AS id FROM (VALUES {_FILES}) t(path, name, length, modified) WHERE name NOT LIKE '%.part'), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY path) = 1) SELECT o.id, path, CASE WHEN i.id IS NULL THEN 'new' WHEN bp AND size = length AND file_modified IS NULL THEN 'adopt' WHEN bp AND size = length AND file_modified = modified THEN 'skip' ELSE 'reingest' END AS action FROM o LEFT JOIN (VALUES {_INDEX}) i(id, size, file_modified, bp) ON o.id = i.id",
     ),
+    "hash_parse": (
+        lambda s, d: _docs(s, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("xyz")).otherwise(F.sha2("text", 256)).alias("hex")).select("doc_id", scalars.hash_hex(scalars.parse_hash(F.upper("hex"))).alias("hash")),
+        "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE sha256(coalesce(text, '')) END AS hash FROM documents",
+    ),
+    "percent_and_seconds": (
+        lambda s, d: _docs(s, d).select("doc_id", scalars.percent(F.col("doc_id") / 1024).alias("percent"), scalars.seconds(F.col("doc_id") * 250_000_000).alias("seconds")),
+        "SELECT doc_id, printf('%.2f%%', floor(doc_id * 10000 / 1024.0 + 0.5) / 100) AS percent, printf('%.1fs', floor(doc_id * 2.5 + 0.5) / 10) AS seconds FROM documents",
+    ),
+    "repack_plan": (
+        lambda s, d: repack.plan(
+            _docs(s, d).select("source", (F.col("doc_id") % 100).alias("k"), "doc_id").select(F.concat("source", F.lit("-"), "k").alias("version_id"), F.concat(F.lit("m\\"), F.col("doc_id").cast("string")).alias("name"), F.col("doc_id").alias("part_index")),
+            _docs(s, d).filter("doc_id % 10 != 3").select(F.concat("source", F.lit("-"), F.col("doc_id") % 100).alias("version_id"), F.col("doc_id").alias("ordinal"), F.sha2("text", 256).alias("content")),
+        ).select("version_id", "name", "part_index", "content"),
+        "WITH m AS (SELECT source || '-' || doc_id % 100 AS version_id, doc_id, text FROM documents) SELECT version_id, 'm/' || doc_id AS name, doc_id AS part_index, sha256(coalesce(text, '')) AS content FROM m WHERE version_id NOT IN (SELECT version_id FROM m WHERE doc_id % 10 = 3)",
+    ),
+    "rescan_counts": (
+        lambda s, d: _CATALOG["pending_scan"][0](s, d).agg(F.count_if(F.col("action").isin("new", "reingest")).alias("ingested"), F.count("*").alias("total")),
+        "SELECT 2::BIGINT AS ingested, 4::BIGINT AS total",
+    ),
+    "received_totals": (
+        lambda s, d: grid(_docs(s, d), "source").groupBy("source").agg(F.count("*").alias("frames"), F.sum(F.col("length").cast("long")).alias("bytes")).withColumn("wire_bytes", F.col("bytes") + scalars.framing_overhead(F.col("frames"))),
+        f"WITH {_GRID_SQL} SELECT source, count(*) AS frames, sum(length)::BIGINT AS bytes, (sum(length) + count(*) * 37 + 17)::BIGINT AS wire_bytes FROM b GROUP BY source",
+    ),
     "crc32_payload": (crc32_payload, None),
     "gzip_ratio": (gzip_ratio, None),
     "level_probe": (level_probe, None),

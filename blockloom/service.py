@@ -14,7 +14,7 @@ from .functions import chunker
 from .functions.scalars import parse_size
 from .operators import delta
 from .sources import index, wire
-from .versions import VersionStore
+from .versions import VersionStore, fetch_full
 
 #: Fixed values of the interface: media types and header names.
 BLOCKS, BLUEPRINT = "application/x-jdt-blocks", "application/x-jdt-blueprint"
@@ -71,7 +71,7 @@ class Service:
     def _full(self, info) -> bytes:
         import hashlib
 
-        data = self.store.rebuild(info.id)
+        data = fetch_full(self.store, info.id)
         ends = chunker.cut_points(data, self.store.params)
         blocks = (data[a:b] for a, b in zip([0, *ends], ends))
         return b"".join(wire.write_frames(((hashlib.sha256(b).digest(), b) for b in blocks), self.store.params.max))

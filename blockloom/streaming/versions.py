@@ -10,11 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import scan
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, index: Callable[[], tuple[DataFrame, DataFrame]], ingest: Callable[[DataFrame], None]) -> StreamingQuery:
     """Run `ingest` on pending versions (new, reingest) whenever files have arrived; index() gives (versions, blueprints).
     Processes what is there and ends; call it again, with the same checkpoint, for what comes later."""
-    arrived = spark.readStream.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length")
+    arrived = spark.readStream.schema(_FILES).format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length")
 
     def batch(_: DataFrame, epoch: int) -> None:
         versions, blueprints = index()

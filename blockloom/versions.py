@@ -130,6 +130,18 @@ def rebuild_blueprint(spark: SparkSession, b: blueprint.Blueprint, *sources: Dat
     return data
 
 
+def fetch_full(server: VersionStore, id_: str) -> bytes:
+    """The whole archive: the file it came from where that is still the published one, else rebuilt and verified."""
+    info = server.version(id_)
+    path = os.path.join(server.archives, info.file_name)
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            data = f.read()
+        if hashlib.sha256(data).hexdigest() == info.sha256:
+            return data
+    return server.rebuild(id_)
+
+
 def fetch_delta(server: VersionStore, base: bytes, id_: str, cache: str, mode: RepackMode = RepackMode.ORIGINAL, target: str | None = None, keep: bool = False) -> dict:
     """Move from `base` to a version of the store: index the base by the publisher's own parameters (or find it indexed
     under its cache key), fetch what is missing, rebuild, hand the cache over to the new version's key. Returns metrics
