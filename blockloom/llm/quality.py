@@ -91,7 +91,9 @@ def _judge(w: DataFrame) -> DataFrame:
     w = w.withColumn("_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     w = w.withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (F.col("_n_repeat_words") * 100 > MAX_REPEAT_PCT * F.col("_n_words")))
     kept = ~F.col("_base_failed") & ((F.col("_word_chars") - F.col("_bad_chars")) * 100 >= MIN_KEPT_PCT * F.col("_word_chars"))
-    return w.withColumn("_kept", kept).drop("_t", "_w", "_l", "_full", "_g", "_s", "_p")
+    w = w.withColumn("_kept", kept)
+    # a generator of one row stops a later filter: pushed below the arrays above, it would make them again and again
+    return w.select("_row", F.explode(F.array(F.struct(*METRICS))).alias("_m")).select("_row", "_m.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:
@@ -101,10 +103,8 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents that pass, without their failing lines. The verdict is applied by a generator: a filter would be pushed
-    below the arrays it is made of, and each would be made again for every element that looks at it."""
-    q = _judge(boxed(docs)).withColumn("_", F.explode(F.when(F.col("_kept"), F.array(F.lit(0)))))
-    return unboxed(q, docs, with_text(docs, F.col("_clean")))
+    """Documents that pass, without their failing lines."""
+    return unboxed(_judge(boxed(docs)).filter("_kept"), docs, with_text(docs, F.col("_clean")))
 
 
 SQL = rf"""
