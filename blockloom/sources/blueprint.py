@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..model import ChunkParams, ContainerFormat, DecomposeLimits
 
+#: Fixed values of the format.
 MAGIC, VERSION = b"JDTBP", 2
 
 
