@@ -43,25 +43,26 @@ def plan_mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
     """sized has doc_id, source, size. Adds source_size, target and copies.
 
     Every document of a source has the same expected copies, so the prefix sum is its rank times that. The rank comes
-    from counts of bins (source, size bin, 12 bits of a hash of the id): a window runs over counted bins, another one
-    inside a bin, never over a source. Ordered by size bin, every size class is sampled in proportion, so the words
+    from counts of bins (source, size class, 12 bits of a hash of the id): windows run over the classes of a source, the
+    bins of a class and the rows of a bin, never over the rows of a source. Ordered by size bin, every size class is sampled in proportion, so the words
     taken stay near the target. Ties on the hash and repeated rows stand beside each other in any order (they are equal
     in all that counts). A null id hashes as 'null'; an empty source or a total of 0 takes nothing."""
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = materialise(sized.withColumns({"_b": _size_bin(F.col("size")), "_h": h}), "mix-sizes")
-    rows = rows.withColumn("_x", F.substring("_h", 1, 3))
-    bins = materialise(rows.groupBy("source", "_b", "_x").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")), "mix-bins")
-    t = targets(bins.groupBy("source").agg(F.sum("_size").alias("source_size")))
-    before = Window.partitionBy("source").orderBy("_b", "_x").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_size")
-    inside = Window.partitionBy("source", "_b", "_x").orderBy("_h", "doc_id", "size")
-    rows = rows.withColumn("_r", F.row_number().over(inside))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
-    bins = bins.withColumn("_k", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source")
-    t = t.withColumns({"_u": u, "_k": F.coalesce(F.col("source"), F.lit("")), "_null": F.col("source").isNull()}).drop("source", "weight")
-    bins = bins.join(t, ["_k", "_null"])
-    rows = rows.withColumn("_k", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull())
-    out = rows.join(bins, ["_k", "_null", "_b", "_x"])
+    keys = {"_k": F.coalesce(F.col("source"), F.lit("")), "_null": F.col("source").isNull()}
+    rows = materialise(sized.withColumns(keys | {"_b": _size_bin(F.col("size")), "_h": h}), "mix-sizes").withColumn("_x", F.substring("_h", 1, 3))
+    bins = materialise(rows.groupBy("_k", "_null", "_b", "_x").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")), "mix-bins")
+    classes = materialise(bins.groupBy("_k", "_null", "_b").agg(F.sum("_n").alias("_n"), F.sum("_size").alias("_size")), "mix-classes")
+    t = targets(classes.groupBy("_k", "_null").agg(F.sum("_size").alias("source_size")).withColumn("source", F.when(~F.col("_null"), F.col("_k"))))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("_k")).cast("binary")), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
+    # documents before a bin: those of smaller size classes, and of bins with smaller hashes in its own
+    smaller = Window.partitionBy("_k", "_null").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_k", "_null", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("_class", F.coalesce(F.sum("_n").over(smaller), F.lit(0))).select("_k", "_null", "_b", "_class")
+    classes = classes.join(t.withColumn("_u", u).drop("source", "weight"), ["_k", "_null"])
+    bins = bins.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).drop("_n", "_size").join(classes, ["_k", "_null", "_b"])
+    bins = bins.withColumn("_before", F.col("_class") + F.col("_in")).drop("_class", "_in")
+    inside = Window.partitionBy("_k", "_null", "_b", "_x").orderBy("_h", "doc_id", "size")
+    out = rows.withColumn("_r", F.row_number().over(inside)).join(bins, ["_k", "_null", "_b", "_x"])
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("_before") + F.col("_r")).cast("double")
     copies = F.floor(rank * e + F.col("_u")) - F.floor((rank - 1) * e + F.col("_u"))
