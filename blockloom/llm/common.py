@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset (tests, a local session) one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and set_.isDefined():
+        path = set_.get()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
