@@ -230,7 +230,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     entries = materialise(seen.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "g")).alias("of")).select("h", "s", "n", "of.rid", "of.g"), "contexts")
     # pieces with several contexts, of which one occurs once, must be looked at; a context that occurs twice repeats as a whole
     mixed = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1")
-    reps = entries.join(mixed.select("h", (F.col("m") > most).alias("big")), "h")
+    mixed = materialise(mixed.select("h", "m", (F.col("m") > most).alias("big")), "mixed-pieces")
+    reps = lookup(entries, mixed, ["h"], "inner", "m", entries.count())
     contexts = materialise(_contexts(reps, table.select("rid", "dk", "th"), docs, length), "context-bytes")
     parts = _scan_groups(contexts.filter("NOT big"), length).unionByName(_count_strings(contexts.filter("big"), length))
     whole = entries.filter("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), F.expr("g & 255").alias("last"), "n")
