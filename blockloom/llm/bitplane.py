@@ -166,41 +166,38 @@ def write_tokens(docs: DataFrame, file: str, spaces: str, end: int, kind: int =
     return materialise(rows.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the files of a manifest; start: ids of all documents before, in file order."""
+def read_tokens(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) from the files of a manifest, or without the ids where only their checksum
+    is wanted. start: ids of all documents before, in file order."""
     from_here = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     m = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(from_here), F.lit(0)))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int64()] * 4 + [pa.binary()] * keep_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        names = ("doc_id", "start", "n_tokens", "ids")
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for uri, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 system, path = fs.FileSystem.from_uri(uri)
                 with system.open_input_file(path) as f:
                     rows, size = [], 0
                     for doc_id, ids in Reader(f):
-                        rows.append((doc_id, before, len(ids) // 4, ids))
-                        before += len(ids) // 4
-                        size += len(ids)
-                        if size > 8_000_000:
+                        n = len(ids) // 4
+                        rows.append((doc_id, before, n, zlib.crc32(ids), *([ids] * keep_ids)))
+                        before += n
+                        size += len(ids) if keep_ids else 64
+                        if size > 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows, size = [], 0
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     n = max(1, min(manifest.count(), 10_000))
-    return m.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def crc32_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), crc], ("doc_id", "start", "n_tokens", "ids_crc32"))
+    return m.repartition(n).mapInArrow(read, schema)
 
 
 def op8(docs: DataFrame, file: str | None = None) -> DataFrame:
     manifest = write_tokens(docs.select("doc_id", "text"), file or vocabulary(VOCABULARY), "dropped", END)
-    return read_tokens(manifest).mapInArrow(crc32_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(manifest, keep_ids=False)
