@@ -174,16 +174,25 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
     if not probes:
         return spark.createDataFrame([], schema)
     width = _calibrate(tree, cells, probes, dim, k, recall)
+    leaves = cells.groupBy("leaf").agg(F.count("*").alias("w"), F.sum(F.size("ids")).alias("ids")).collect()
+    held = {r.leaf: r.ids for r in leaves}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(leaf, d, v) for d, v in zip(b.column("d").to_pylist(), b.column("v").to_pylist()) for leaf, _ in zip(tree.visit(np.frombuffer(v, np.float64)), range(width))]
+            out = []
+            for d, v in zip(b.column("d").to_pylist(), b.column("v").to_pylist()):
+                seen = 0
+                for i, leaf in enumerate(tree.visit(np.frombuffer(v, np.float64))):
+                    if i >= width and seen > k:  # small leaves: go on until k rows are found beside the query
+                        break
+                    out.append((leaf, d, v))
+                    seen += held.get(leaf, 0)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["leaf", "d", "v"])
 
     visits = queries.select("d", "v").repartition("d").mapInArrow(walk, "leaf long, d binary, v binary")
     # rows of a leaf for each task (blocks) and how often they are sent (salts): a row for each leaf, as many as the sample allows
-    blocks = {r.leaf: -(-r["count"] // BLOCK) for r in cells.groupBy("leaf").count().collect()}
+    blocks = {r.leaf: -(-r.w // BLOCK) for r in leaves}
     salts = {r.leaf: -(-r["count"] // BLOCK) for r in visits.groupBy("leaf").count().collect()}
     deal = spark.createDataFrame([(leaf, n, salts[leaf]) for leaf, n in blocks.items() if leaf in salts], "leaf long, blocks long, salts long")
 
