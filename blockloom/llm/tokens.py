@@ -57,7 +57,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(file)
-        self.of.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.of.encode_special_tokens = True  # in a piece, which may be lower-cased; encode() cuts texts at them before
+        added = self.of.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.of.normalizer) for t in added.values()):
+            raise ValueError(f"{file}: an added token that is not found by its plain string")
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")  # leftmost, then longest
         self.dropped = spaces == "dropped"
         self.edge = np.zeros(self.of.get_vocab_size(), bool)  # tokens that end (dropped) or start (kept) a plain word
         for token, i in self.of.get_vocab().items():
@@ -128,6 +133,13 @@ class Encoder:
         self._add(start, size, [*[ids for _, ids in data.values()], *own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """An added token's string is that token, as the library has it by default; the text on either side of it is encoded
+        as a text of its own."""
+        cut = [self.cut.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        done = iter(self._plain([x for c in cut for x in c[::2]]))
+        return [b"".join([self.added[x] if k % 2 else next(done) for k, x in enumerate(c)]) for c in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         if len(self.numbers) > MAX_CACHED or len(self.flat) > 20 * MAX_CACHED:  # what came back since the last time stays
             often = np.argsort(-self.uses, kind="stable")[: MAX_CACHED // 2]
             self._forget(np.sort(often[self.uses[often] > 1]))
