@@ -37,9 +37,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, bytes]]:
             except zlib.error:
                 record, end = data[at:], len(data)
         else:
-            head, gap, _ = data[at : at + 65536].partition(b"\r\n\r\n")
+            gap = data.find(b"\r\n\r\n", at)
+            head = data[at : max(gap, at)]
             sizes = [x.split(b":", 1)[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            end = at + len(head) + 4 + int(sizes[0]) + 4 if gap and sizes and sizes[0].strip().isdigit() else len(data)
+            end = at + len(head) + 4 + int(sizes[0]) + 4 if gap >= 0 and sizes and sizes[0].strip().isdigit() else len(data)
             record = data[at:end]
         yield at, record
         at = end
