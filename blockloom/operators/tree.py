@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def walk(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", ordinal: str = "ordinal", max_depth: int = 20) -> DataFrame:
+def walk(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", ordinal: str = "ordinal") -> DataFrame:
     """nodes with depth and path (ordinals from the root): ordered by path they stand in preorder. One join a level; each
     takes only the nodes of the level above, so all levels together touch a node twice."""
     level = nodes.filter(F.col(parent).isNull()).withColumns({"depth": F.lit(0), "path": F.array(F.col(ordinal).cast("int"))})
     out = level
     rest = nodes.filter(F.col(parent).isNotNull())
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         up = level.select(F.col(node).alias(parent), F.col("path").alias("_p"))
         level = rest.join(up, parent).withColumns({"depth": F.lit(depth), "path": F.concat("_p", F.array(F.col(ordinal).cast("int")))}).select(*out.columns)
         if not level.head(1):
