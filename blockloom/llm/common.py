@@ -91,7 +91,10 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str, weight: str, total: int) -> DataFrame:
     """left join right (how: inner or left_semi) where right has one row for each key and `weight` tells how many rows
     of left it meets. Keys with more than total/HOT_PARTS rows (fewer than HOT_PARTS by that very bound, so safe to
-    broadcast) are joined without a shuffle; in what remains no key holds more than 1/HOT_PARTS of the rows."""
+    broadcast) are joined without a shuffle; in what remains no key holds more than 1/HOT_PARTS of the rows. A left of up to
+    2 * HOT_PARTS rows is one small task's work whatever its keys, and is joined plainly."""
+    if total <= 2 * HOT_PARTS:
+        return left.join(right.drop(weight), keys, how)
     hot = F.col(weight) * HOT_PARTS > total
     heavy = right.filter(hot).drop(weight)
     light = right.filter(~hot).drop(weight)

@@ -114,9 +114,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_duplicates(docs, empty, block, monkeypatch):
+@pytest.mark.parametrize(("block", "rounds"), [(512, 1), (3, 0), (3, 2)])
+def test_near_duplicates(docs, empty, block, rounds, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "SPOKES", 4)
     sets = [(r[0], shingles(r[1])) for r in ROWS]
     label = list(range(len(sets)))
 
@@ -140,7 +142,7 @@ def test_near_duplicates(docs, empty, block, monkeypatch):
     got = neardup.op4(docs).collect()
     assert key(got, "doc_id", "n_shingles", "component_id", "kept") == want
     assert neardup.op4(empty).collect() == []
-    if block > 3:
+    if rounds == 1:
         kept = neardup.stage(docs)
         assert kept.columns == docs.columns and kept.filter("text IS NOT NULL").groupBy("text").count().filter("count > 1 AND length(text) > 20").count() == 0
 
