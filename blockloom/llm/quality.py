@@ -12,15 +12,27 @@ from pyspark.sql import functions as F
 from .common import WORD, WS_CHARS, boxed, unboxed, with_text
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases that mark a line as boilerplate of web pages.
+#: Phrases that mark a line as boilerplate of web pages: English, German, French, Spanish.
 BOILERPLATE = (
     "accept all cookies", "we use cookies", "enable javascript", "javascript is disabled", "terms of use", "privacy policy",
     "click here to", "sign up for our newsletter", "subscribe to our newsletter", "skip to content", "back to top", "lorem ipsum",
+    "alle cookies akzeptieren", "wir verwenden cookies", "datenschutzerklärung", "nutzungsbedingungen", "zum inhalt springen", "newsletter abonnieren",
+    "accepter tous les cookies", "nous utilisons des cookies", "politique de confidentialité", "conditions générales", "aller au contenu", "retour en haut",
+    "aceptar todas las cookies", "utilizamos cookies", "política de privacidad", "términos de uso", "saltar al contenido", "volver arriba",
 )
-MARKS = SYMBOLS + "!»"
+MARKS = SYMBOLS + "!»" + "0123456789"
 SEPARATORS, MAX_ITEM_WORDS = "|>»", 4
-#: A line fails when symbols (or exclamation marks) are more than this percentage of its characters.
-MAX_MARK_PCT = 10
+#: A line fails when symbols (or exclamation marks) are more than this percentage of its characters, or digits more than that.
+MAX_MARK_PCT, MAX_DIGIT_PCT = 10, 30
+#: A line of fewer words and characters that does not end a sentence is a heading, a label or a button.
+MIN_LINE_WORDS, SHORT_CHARS = 5, 100
+#: How a sentence ends in any of many scripts, closing quotes and brackets behind it; how a list's line starts, and a teaser ends.
+ENDING = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{061F}\x{0964}][\"')\]\x{00BB}\x{201C}\x{201D}\x{2019}\x{300D}]*$"
+BULLET, TEASER = r"^[\-*\x{2022}\x{2023}\x{25E6}\x{00B7}\x{2013}][\x20\x09]", r"(\.\.\.|\x{2026})$"
+#: An ASCII line with more characters to a word holds addresses, hashes or encoded data.
+MAX_WORD_CHARS = 40
+#: Capitals without any small letter: a line that shouts.
+CAPITALS = "([^A-Z]*[A-Z]){5}"
 #: A document is rejected when its remaining lines hold less than this percentage of its characters.
 MIN_KEPT_PCT = 50
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
@@ -34,23 +46,35 @@ def _without(c: Column, chars: str) -> Column:
 
 
 def line_stats(lines: Column) -> Column:
-    """For each line a struct: the line, chars (without white space), marks, bangs, parts, bad. The nested calls pass
-    over a line twice; the marks are counted only in a line that has any.
-
-    Punctuation: symbols or exclamation marks are over MAX_MARK_PCT of the characters. Navigation: two or more of | > »
-    with at most MAX_ITEM_WORDS words to each of them. Boilerplate: a known phrase. A blank line is never bad."""
+    """For each line a struct: the line, chars (without white space), marks, bad. The nested calls pass over a line twice; marks
+    and digits are counted only in a line that has any.
+
+    Punctuation: symbols or exclamation marks are over MAX_MARK_PCT of the characters, digits over MAX_DIGIT_PCT, the line is
+    all capitals, or it is short and ends no sentence. Navigation: two or more of | > » with at most MAX_ITEM_WORDS words to
+    each of them, an item of a list that ends no sentence, or a teaser that breaks off in dots. Boilerplate: a known phrase, or an
+    ASCII line of over MAX_WORD_CHARS characters to a word. A blank line is never bad. But for the phrases no rule is tied to a
+    language; what needs capitals or word spaces looks at ASCII alone."""
     dense = F.transform(lines, lambda x: F.struct(x.alias("line"), _without(x, WS_CHARS).alias("dense")))
     marked = F.transform(dense, lambda x: F.struct(x["line"].alias("line"), x["dense"].alias("dense"), F.length(x["dense"]).alias("chars"), (F.length(_without(x["dense"], MARKS)) < F.length(x["dense"])).alias("any")))
 
     def count(x: Column, chars: str) -> Column:
         return F.when(x["any"], x["chars"] - F.length(_without(x["dense"], chars))).otherwise(0)
 
-    counted = F.transform(marked, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), count(x, SYMBOLS).alias("marks"), count(x, "!").alias("bangs"), count(x, SEPARATORS).alias("parts"), F.lower(x["line"]).alias("low")))
+    counted = F.transform(marked, lambda x: F.struct(
+        x["line"].alias("line"), x["dense"].alias("dense"), x["chars"].alias("chars"), count(x, SYMBOLS).alias("marks"), count(x, "!").alias("bangs"), count(x, "0123456789").alias("digits"), count(x, SEPARATORS).alias("parts"),
+        F.lower(x["line"]).alias("low"), F.regexp_count(x["line"], F.lit(WORD)).alias("words"),
+    ))
 
     def bad(x: Column) -> Column:
-        pct = (x["marks"] * 100 > MAX_MARK_PCT * x["chars"]) | (x["bangs"] * 100 > MAX_MARK_PCT * x["chars"])
-        navigation = (x["parts"] >= 2) & (F.regexp_count(x["line"], F.lit(WORD)) <= MAX_ITEM_WORDS * x["parts"])
-        return (x["chars"] > 0) & (pct | navigation | reduce(or_, [F.contains(x["low"], F.lit(b)) for b in BOILERPLATE]))
+        pct = (x["marks"] * 100 > MAX_MARK_PCT * x["chars"]) | (x["bangs"] * 100 > MAX_MARK_PCT * x["chars"]) | (x["digits"] * 100 > MAX_DIGIT_PCT * x["chars"])
+        ends = F.substring(x["dense"], -4, 4).rlike(ENDING)
+        short = (x["words"] < MIN_LINE_WORDS) & (x["chars"] < SHORT_CHARS) & ~ends
+        shouts = ~x["line"].rlike("[a-z]") & x["line"].rlike(CAPITALS)
+        menu = (x["parts"] >= 2) & (x["words"] <= MAX_ITEM_WORDS * x["parts"])
+        item = F.btrim(x["line"], F.lit(WS_CHARS)).rlike(BULLET) & ~ends
+        teaser = F.substring(x["dense"], -3, 3).rlike(TEASER)
+        data = (x["chars"] > MAX_WORD_CHARS * x["words"]) & (F.length(x["line"]) == F.octet_length(x["line"]))
+        return (x["chars"] > 0) & (pct | short | shouts | menu | item | teaser | data | reduce(or_, [F.contains(x["low"], F.lit(b)) for b in BOILERPLATE]))
 
     return F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), x["marks"].alias("marks"), bad(x).alias("bad")))
 
@@ -116,9 +140,12 @@ p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before F
 r AS (SELECT doc_id, sum(least(5, i - coalesce(before, i - 5))) AS n FROM p GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(l) AS x FROM w),
 lc AS (SELECT doc_id, x, len(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM ln),
-lm AS (SELECT doc_id, x, chars, len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS marks, len(regexp_replace(x, '[^!]', '', 'g')) AS bangs, len(regexp_replace(x, '[^|>»]', '', 'g')) AS parts FROM lc),
-lf AS (SELECT doc_id, x, chars, chars > 0 AND (marks * 100 > {MAX_MARK_PCT} * chars OR bangs * 100 > {MAX_MARK_PCT} * chars
-  OR parts >= 2 AND len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) <= {MAX_ITEM_WORDS} * parts OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS bad FROM lm),
+lm AS (SELECT doc_id, x, chars, regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') AS dense, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words, len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS marks,
+  len(regexp_replace(x, '[^!]', '', 'g')) AS bangs, len(regexp_replace(x, '[^0-9]', '', 'g')) AS digits, len(regexp_replace(x, '[^|>»]', '', 'g')) AS parts FROM lc),
+le AS (SELECT *, regexp_matches(right(dense, 4), '{ENDING.replace("'", "''")}') AS ends FROM lm),
+lf AS (SELECT doc_id, x, chars, chars > 0 AND (marks * 100 > {MAX_MARK_PCT} * chars OR bangs * 100 > {MAX_MARK_PCT} * chars OR digits * 100 > {MAX_DIGIT_PCT} * chars OR words < {MIN_LINE_WORDS} AND chars < {SHORT_CHARS} AND NOT ends
+  OR NOT regexp_matches(x, '[a-z]') AND regexp_matches(x, '{CAPITALS}') OR parts >= 2 AND words <= {MAX_ITEM_WORDS} * parts OR regexp_matches(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '{BULLET}') AND NOT ends
+  OR regexp_matches(right(dense, 3), '{TEASER}') OR chars > {MAX_WORD_CHARS} * words AND len(x) = strlen(x) OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS bad FROM le),
 la AS (SELECT doc_id, count(*) FILTER (chars > 0) - count(DISTINCT x) FILTER (chars > 0) AS dup, count(*) FILTER (bad) AS n_bad, coalesce(sum(chars) FILTER (bad), 0) AS bad_chars, sum(chars) AS chars FROM lf GROUP BY doc_id),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, chars::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, n_bad::BIGINT AS n_bad_lines, bad_chars::BIGINT AS bad_chars FROM w JOIN la USING (doc_id) LEFT JOIN r USING (doc_id))
