@@ -22,6 +22,6 @@ def test_lines(spark, lines, fail):
 
 
 def test_document_loses_lines_and_stays(spark):
-    prose = "\n".join([f"{x} sat by the river with {y} friends until {z} came." for x, y, z in zip(("Ann", "Bo", "Cy"), ("two", "ten", "no"), ("night", "rain", "June"))])
+    prose = "Ann sat by the river until night came.\nBo went home early, for it had rained.\nNobody else knew when June would end."
     docs = spark.createDataFrame([(1, f"Menu\n{prose}\nRead more..."), (2, "Menu\nRead more...\nHome | News | Sports\n" + "Click\n" * 9 + "Only this line is a whole sentence.")], "doc_id long, text string")
     assert [(r.doc_id, r.text) for r in quality.stage(docs).collect()] == [(1, prose)]
