@@ -2,10 +2,11 @@
 
 Only sampled suffixes are sorted. Of every string of LENGTH bytes the least hash of its GRAM-byte pieces marks an anchor,
 so equal strings have their anchor at the same place. The consecutive strings that share an anchor form one stretch of
-text, its context. Anchors whose piece occurs once are done with; equal contexts are one entry with a count; the
-remaining different contexts of a piece are sorted by what follows the anchor (the suffix array), neighbours' common
+text, its context. Anchors whose piece occurs once are done with; equal contexts are one leaf with a count; the
+contexts of a piece are sorted by what follows the anchor (the suffix array), neighbours' common
 prefixes are stack-scanned into intervals, and in each interval the reversed texts before the anchor tell how far
-its suffixes extend to the left and where they differ."""
+its suffixes extend to the left and where they differ. A maximal repeat that is longer than a context comes as a chain of
+groups, one for each anchor in it."""
 
 from __future__ import annotations
 
@@ -24,8 +25,10 @@ from .common import doc_key, lookup, materialise
 from .shingles import _BYTE, _powers, mix64
 
 LENGTH, GRAM = 200, 40
-#: Different contexts of one piece that are sorted in one task; of more, every string is counted by its digest instead.
-MOST = 4096
+#: Different contexts that are sorted in one task. A piece with more is split by what stands around it: a string has its anchor at
+#: one of LENGTH - GRAM + 1 places, and for each of RANGES stretches of places the bytes that all strings with the anchor there
+#: must share part the contexts; a part that is still larger is split by whole strings, which are intervals by themselves.
+MOST, RANGES = 4096, 4
 _CHUNK = (1 << 20) - LENGTH
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -64,9 +67,10 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def interval_scan(entries: list[tuple[bytes, int]], length: int, repeats: list | None = None) -> list[tuple[int, int] | None]:
+def interval_scan(entries: list[tuple[bytes, int]], length: int, repeats: list | None = None, times: list[int] | None = None) -> list[tuple[int, int] | None]:
     """entries: different (context, place of the anchor in it). For each the bytes around its anchor, (before, after),
-    that lie in a string of `length` which another entry has too; None where there is none.
+    that lie in a string of `length` which another entry has too; None where there is none. times: how often each context
+    occurs; one that occurs more than once is a leaf of several suffixes, an interval by itself.
 
     Intervals close deepest first. An interval's suffixes agree on `depth` bytes from the anchor; they are kept sorted by
     the reversed text before it, smaller lists going into larger ones, so a suffix's longest left extension within the
@@ -77,6 +81,11 @@ def interval_scan(entries: list[tuple[bytes, int]], length: int, repeats: list |
     after = [entries[i][0][entries[i][1] :] for i in order]
     before = [entries[i][0][: entries[i][1]][::-1] for i in order]
     best: list[tuple[int, int] | None] = [None] * len(entries)
+    for i, x in enumerate(order):
+        if times and times[x] > 1:
+            best[i] = (len(before[i]), len(after[i]))
+            if repeats is not None:
+                repeats.append((*best[i], [x]))
 
     def close(depth: int, parts: list[list[int]]) -> list[int]:
         parts.sort(key=len)
@@ -152,67 +161,130 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contexts(reps: DataFrame, of: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of contexts (rid, g, and whatever else is in reps): (h, s, at, context)."""
-    to = reps.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "g", "big")).alias("to")).join(of, "rid").select("dk", "th", "to")
+    """The bytes of contexts (h, s, n, rid, g, m): (key, h, s, n, m, at, context); key: the piece."""
+    to = reps.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "n", "m", "g")).alias("to")).join(of, "rid").select("dk", "th", "to")
     texts = docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text")).join(to, ["dk", "th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        types, names = (pa.binary(), *[pa.int64()] * 5, pa.binary()), ["key", "h", "s", "n", "m", "at", "context"]
         for b in batches:
             rows = []
             for text, to in zip(b.column("text").to_pylist(), b.column("to").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in to:
                     lo, at, more = x["g"] >> 16, x["g"] >> 8 & 255, x["g"] & 255
-                    rows.append((x["h"], x["s"], x["big"], at, data[lo : lo + more + length]))
+                    rows.append((x["h"].to_bytes(8, "big", signed=True), x["h"], x["s"], x["n"], x["m"], at, data[lo : lo + more + length]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["h", "s", "big", "at", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return texts.select("text", "to").mapInArrow(cut, "h long, s long, big boolean, at long, context binary").dropDuplicates(["h", "s"])
+    return texts.select("text", "to").mapInArrow(cut, _CONTEXTS).dropDuplicates(["h", "s"])
 
 
-def _scan_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """(h, s, first, last): of each context the range of its strings that lie in repeats. Groups are read in sorted
+_CONTEXTS = "key binary, h long, s long, n long, m long, at long, context binary"
+_FOUND = "gid binary, h long, s long, first long, last long"
+_FOUND_TYPES, _FOUND_NAMES = (pa.binary(), *[pa.int64()] * 4), ["gid", "h", "s", "first", "last"]
+
+
+def _scan_groups(contexts: DataFrame, length: int, groups: bool) -> DataFrame:
+    """Of each context the range of its strings that lie in repeats (gid null), or (groups) a row for each member of each maximal
+    repeat: gid, a digest of its bytes, and the range of its strings in the member's context. Parts are read in sorted
     order, one at a time; none has more than MOST entries."""
 
     def rows(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("h", "s", "at", "context")))
+            yield from zip(*(b.column(c).to_pylist() for c in ("key", "h", "s", "n", "at", "context")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        kinds = [pa.int64()] * 4
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            group = list(group)
-            for (h, s, at, context), x in zip(group, interval_scan([(r[3], r[2]) for r in group], length)):
-                if x:
-                    out.append((h, s, at - x[0], at + x[1] - length))
+        for _, part in groupby(rows(batches), key=lambda r: r[0]):
+            part = list(part)
+            repeats: list | None = [] if groups else None
+            spans = interval_scan([(r[5], r[4]) for r in part], length, repeats, [r[3] for r in part])
+            if repeats is None:
+                out += [(None, h, s, at - x[0], at + x[1] - length) for (_, h, s, _, at, _), x in zip(part, spans) if x]
+            for left, depth, members in repeats or ():
+                at, context = part[members[0]][4:]
+                gid = hashlib.blake2b(context[at - left : at + depth], digest_size=16).digest()
+                out += [(gid, part[k][1], part[k][2], part[k][4] - left, part[k][4] + depth - length) for k in members]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["h", "s", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND_TYPES)], _FOUND_NAMES)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["h", "s", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND_TYPES)], _FOUND_NAMES)
 
-    return contexts.select("h", "s", "at", "context").repartition("h").sortWithinPartitions("h", "s").mapInArrow(scan, "h long, s long, first long, last long")
+    return contexts.select("key", "h", "s", "n", "at", "context").repartition("key").sortWithinPartitions("key", "h", "s").mapInArrow(scan, _FOUND)
 
 
-def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for pieces with over MOST different contexts: each string of a context is counted by its digest, so such
-    a group is spread over all tasks."""
+def _split(contexts: DataFrame, length: int, gram: int, ranges: int, keep: bool) -> DataFrame:
+    """contexts under new keys: of each range of places that the anchor may have in a string the bytes that such strings share. With a
+    range for each place (keep: False) the keys are the strings, and instead of bytes their start comes, in `at`."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = length - gram + 1
+        cuts = [(places * k // ranges, places * (k + 1) // ranges - 1) for k in range(ranges)]
+        types, names = (pa.binary(), *[pa.int64()] * 5, pa.binary()), ["key", "h", "s", "n", "m", "at", "context"]
         for b in batches:
-            out = []
-            for h, s, context in zip(*(b.column(c).to_pylist() for c in ("h", "s", "context"))):
-                out += [(h, s, k, hashlib.blake2b(context[k : k + length], digest_size=16).digest()) for k in range(len(context) - length + 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["h", "s", "k", "d"])
-
-    each = materialise(contexts.select("h", "s", "context").mapInArrow(strings, "h long, s long, k long, d binary"), "strings")
-    twice = materialise(each.groupBy("d").agg(F.count("*").alias("w")).filter("w > 1"), "repeated-strings")
-    found = lookup(each, twice, ["d"], "left_semi", "w", each.count())
-    return found.groupBy("h", "s").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+            for i in range(0, b.num_rows, 500):
+                out = []
+                for h, s, n, at, context in zip(*(b.column(c).slice(i, 500).to_pylist() for c in ("h", "s", "n", "at", "context"))):
+                    for k, (low, high) in enumerate(cuts):
+                        if at >= low and len(context) - at >= length - high:
+                            key = hashlib.blake2b(context[at - low : at + length - high], digest_size=16, key=(h & (1 << 64) - 1).to_bytes(8, "big") + bytes([k % 256])).digest()
+                            out.append((key, h, s, n, 0, at if keep else at - low, context if keep else b""))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return contexts.mapInArrow(split, _CONTEXTS)
+
+
+def _split_groups(contexts: DataFrame, length: int, gram: int, most: int, groups: bool) -> DataFrame:
+    """_scan_groups for the contexts of pieces with over `most` of them."""
+    parts = materialise(_split(contexts, length, gram, RANGES, True), "split-pieces")
+    sizes = materialise(parts.groupBy("key").agg(F.count("*").alias("w"), F.sum("n").alias("all")).filter("all > 1").select("key", "w", F.col("w").alias("size")), "split-sizes")
+    parts = materialise(lookup(parts, sizes, ["key"], "inner", "w", parts.count()), "split-contexts")
+    found = _scan_groups(parts.filter(F.col("size") <= most), length, groups)
+    rest = parts.filter(F.col("size") > most).select("h", "s", "n", "at", "context").dropDuplicates(["h", "s"])
+    strings = materialise(_split(rest, length, gram, length - gram + 1, False).select("key", "h", "s", "n", "at"), "strings")
+    twice = materialise(strings.groupBy("key").agg(F.count("*").alias("w"), F.sum("n").alias("all")).filter("all > 1").select("key", "w"), "repeated-strings")
+    same = lookup(strings, twice, ["key"], "inner", "w", strings.count())
+    return found.unionByName(same.select(F.col("key").alias("gid"), "h", "s", F.col("at").alias("first"), F.col("at").alias("last")))
+
+
+def _repeats(docs: DataFrame, length: int, gram: int, most: int, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, places, found): rid, dk, th of each document; rid, h, s, g of each anchor of a repeated piece; and what
+    _scan_groups gives, over all pieces. A piece with one context, which is there several times, is a tree of one leaf:
+    its context is the repeat, and no bytes are read for it."""
+    table = _anchor_table(docs, length, gram)
+    flat = table.select("rid", F.explode(F.arrays_zip("h", "s", "g")).alias("x")).select("rid", "x.h", "x.s", "x.g")
+    pieces = materialise(table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("w")).filter("w > 1"), "pieces")
+    seen = materialise(lookup(flat, pieces, ["h"], "inner", "w", flat.count()), "repeated-anchors")
+    entries = materialise(seen.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "g")).alias("of")).select("h", "s", "n", "of.rid", "of.g"), "contexts")
+    kinds = materialise(entries.groupBy("h").agg(F.count("*").alias("w")).withColumn("m", F.col("w")), "piece-sizes")
+    entries = materialise(lookup(entries, kinds, ["h"], "inner", "w", entries.count()), "sized-contexts")
+    documents = table.select("rid", "dk", "th")
+    contexts = materialise(_contexts(entries.filter("m > 1"), documents, docs, length), "context-bytes")
+    leaf = entries.filter((F.col("n") > 1) & ((F.col("m") == 1) | (F.col("m") > most)))
+    gid = F.unhex(F.md5(F.concat(F.col("h").cast("string"), F.lit("/"), F.col("s").cast("string")).cast("binary")))
+    found = leaf.select(gid.alias("gid"), "h", "s", F.lit(0).cast("long").alias("first"), F.expr("g & 255").alias("last"))
+    found = found.unionByName(_scan_groups(contexts.filter(F.col("m") <= most), length, groups))
+    if contexts.filter(F.col("m") > most).head(1):
+        found = found.unionByName(_split_groups(contexts.filter(F.col("m") > most), length, gram, most, groups))
+    return documents, seen, found
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """(gid, dk, th, rid, start, size): the maximal repeats of at least `length` bytes with all of their occurrences: the document
+    (common.doc_key; rid tells repeated rows apart), the first byte and the number of bytes. Within what an anchor's context
+    shows, no repeat can be extended to either side for all of its members; a longer one comes as a chain of groups. Of a
+    part that no split brings under `most` the groups are its strings of `length` bytes. Documents shorter than length,
+    null and empty ones have none; repeated rows are occurrences like others."""
+    documents, seen, found = _repeats(docs.select("doc_id", "text"), length, gram, most, True)
+    found = materialise(found.dropDuplicates(["gid", "h", "s", "first"]), "group-members")
+    n = found.groupBy("h", "s").agg(F.collect_list(F.struct("gid", "first", (F.col("last") - F.col("first") + length).alias("size"))).alias("in"))
+    n = materialise(n.join(seen.groupBy("h", "s").agg(F.count("*").alias("n")), ["h", "s"]), "grouped-contexts")
+    each = lookup(seen, n, ["h", "s"], "inner", "n", seen.count()).select("rid", "g", F.explode("in").alias("x"))
+    each = each.select("x.gid", "rid", (F.expr("g >> 16") + F.col("x.first")).alias("start"), "x.size")
+    return each.join(documents, "rid").select("gid", "dk", "th", "rid", "start", "size")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -222,25 +294,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     Exact up to 128-bit digests. Documents shorter than length have none; null is empty. Repeated rows are copies of
     each other, hence repeats. A hot piece costs what its different contexts cost; copies are counted before a shuffle
     and found again by a broadcast of fewer than HOT_PARTS keys."""
-    docs = docs.select("doc_id", "text")
-    table = _anchor_table(docs, length, gram)
-    flat = table.select("rid", F.explode(F.arrays_zip("h", "s", "g")).alias("x")).select("rid", "x.h", "x.s", "x.g")
-    pieces = materialise(table.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("w")).filter("w > 1"), "pieces")
-    seen = materialise(lookup(flat, pieces, ["h"], "inner", "w", flat.count()), "repeated-anchors")
-    entries = materialise(seen.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "g")).alias("of")).select("h", "s", "n", "of.rid", "of.g"), "contexts")
-    # pieces with several contexts, of which one occurs once, must be looked at; a context that occurs twice repeats as a whole
-    mixed = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1")
-    mixed = materialise(mixed.select("h", "m", (F.col("m") > most).alias("big")), "mixed-pieces")
-    reps = lookup(entries, mixed, ["h"], "inner", "m", entries.count())
-    contexts = materialise(_contexts(reps, table.select("rid", "dk", "th"), docs, length), "context-bytes")
-    parts = _scan_groups(contexts.filter("NOT big"), length).unionByName(_count_strings(contexts.filter("big"), length))
-    whole = entries.filter("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), F.expr("g & 255").alias("last"), "n")
-    some = parts.join(entries.filter("n = 1").select("h", "s", "n"), ["h", "s"])
-    ranges = materialise(whole.unionByName(some), "ranges")
+    documents, seen, found = _repeats(docs.select("doc_id", "text"), length, gram, most, False)
+    # every range holds its anchor, so those of one context are one
+    ranges = found.groupBy("h", "s").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ranges = materialise(ranges.join(seen.groupBy("h", "s").agg(F.count("*").alias("n")), ["h", "s"]), "ranges")
     found = lookup(seen, ranges, ["h", "s"], "inner", "n", seen.count())
     lo = F.expr("g >> 16")
     spans = found.groupBy("rid").agg(F.collect_list(F.struct((lo + F.col("first")).alias("start"), (lo + F.col("last") + length).alias("end"))).alias("spans"))
-    return materialise(spans.join(table.select("rid", "dk", "th"), "rid").groupBy("dk", "th").agg(F.first("spans").alias("spans")), "spans")
+    return materialise(spans.join(documents, "rid").groupBy("dk", "th").agg(F.first("spans").alias("spans")), "spans")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -268,4 +329,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """A row for each document: bytes, bytes removed, runs removed, and the digest of what is left. Null texts, empty ones
+    and those under LENGTH bytes lose nothing; repeated rows are copies of each other and lose all that has LENGTH bytes; an empty table
+    gives no row; other columns don't matter."""
     return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
