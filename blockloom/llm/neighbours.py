@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 from .common import lookup, materialise
 
 K, EVERY = 20, 20
-#: The tree is fitted on at most SAMPLE rows (chosen by a hash), split into BRANCH until a node stands for LEAF_ROWS rows
-#: of the table or fewer, or has LEAF rows of the sample.
-SAMPLE, BRANCH, LEAF, LEAF_ROWS, ROUNDS = 16_384, 8, 48, 1024, 8
+#: The tree on the driver is fitted on rows chosen by a hash: SAMPLE, or a part in ROWS_EACH of a larger table, up to MOST_SAMPLE
+#: rows and SAMPLE_BYTES. A node is split into BRANCH until it stands for LEAF_ROWS rows of the table or fewer, or has LEAF rows of
+#: the sample. A leaf that still gets over REFIT rows has a tree of its own, fitted in a task on about SAMPLE of them.
+SAMPLE, ROWS_EACH, MOST_SAMPLE, SAMPLE_BYTES = 16_384, 32, 65_536, 64 << 20
+BRANCH, LEAF, LEAF_ROWS, REFIT, ROUNDS = 8, 16, 1024, 16_384, 8
 #: Recall wanted, and on how many queries (chosen by a hash, compared with all rows) it is calibrated.
 RECALL, PROBES = 0.95, 256
-#: Vectors of a leaf, and visits to it, that one task holds together.
-BLOCK = 4096
+#: Vectors of neighbouring leaves, and visits to them, that one task holds together; rows that pass one copy of a leaf's tree.
+BLOCK, PASS = 4096, 65_536
+#: A table with a row for each shard is broadcast up to this many rows, joined otherwise.
+SMALL = 65_536
 
 
 class Tree:
@@ -110,42 +115,104 @@ def _best(parts: list[tuple[list, list]], k: int) -> list[tuple[float, int]]:
     return sorted({(-s, i) for scores, ids in parts for s, i in zip(scores, ids)})[:k]
 
 
-def _calibrate(tree: Tree, cells: DataFrame, probes: list, dim: int, k: int, recall: float) -> int:
-    """The least number of leaves with which the probes find `recall` of their true k nearest. The truth comes from all
-    rows, in one pass; the places of the neighbours' leaves in each probe's order tell the recall of every width at once."""
+def _truth(cells: DataFrame, probes: list, dim: int, k: int) -> DataFrame:
+    """(q, leaf, leaf2): where the k nearest of each probe lie, by one pass over all rows. A task keeps k for each probe, and
+    the lists of the tasks are merged in two steps."""
     q = np.array([np.frombuffer(p, np.float64) for p in probes])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(q), k), -np.inf)
+        at = np.zeros((len(q), k, 3), np.int64)  # leaf, leaf2, rows that share the vector
         for b in batches:
             if not b.num_rows:
                 continue
-            s, leaf, n = q @ _array(b.column("v"), dim).T, np.array(b.column("leaf").to_pylist()), np.array([len(x) for x in b.column("ids").to_pylist()])
+            here = np.array([b.column("leaf").to_pylist(), b.column("leaf2").to_pylist(), [len(x) for x in b.column("ids").to_pylist()]], np.int64).T
+            s = np.concatenate([best, q @ _array(b.column("v"), dim).T], axis=1)
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q)), pa.int64()), pa.array([s[i, t].tolist() for i, t in enumerate(top)]), pa.array(leaf[top].tolist()), pa.array(n[top].tolist())], ["q", "s", "leaf", "n"])
+            row = np.arange(len(q))[:, None]
+            at = np.where((top < k)[:, :, None], at[row, np.minimum(top, k - 1)], here[np.maximum(top - k, 0)])
+            best = s[row, top]
+        for i in range(len(q)):
+            keep = np.isfinite(best[i])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([best[i][keep].tolist()], pa.list_(pa.float64())), *[pa.array([at[i][keep][:, j].tolist()], pa.list_(pa.int64())) for j in range(3)]], ["q", "s", "leaf", "leaf2", "n"])
+
+    schema = "q long, s array<double>, leaf array<long>, leaf2 array<long>, n array<long>"
 
     def merge(key, t):
-        rows = sorted((-s, leaf, n) for c in zip(*(t.column(x).to_pylist() for x in ("s", "leaf", "n"))) for s, leaf, n in zip(*c))
-        return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([[leaf for _, leaf, n in rows[:k] for _ in range(n)][:k]], pa.list_(pa.int64()))})
-
-    truth = cells.select("v", "leaf", "ids").mapInArrow(scan, "q long, s array<double>, leaf array<long>, n array<long>").groupBy("q").applyInArrow(merge, "q long, leaf array<long>").collect()
-    place = []
-    for r in truth:
-        order = {leaf: i for i, leaf in enumerate(tree.visit(q[r.q]))}
-        place += [order[x] for x in r.leaf]
-    place = np.sort(np.array(place))
-    width = 1
-    while width < tree.leaves and np.searchsorted(place, width) < recall * len(place):
-        width += 1
-    return width
-
-
-def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+        rows = sorted((-s, *x) for c in zip(*(t.column(x).to_pylist() for x in ("s", "leaf", "leaf2", "n"))) for s, *x in zip(*c))[:k]
+        return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "s": pa.array([[-r[0] for r in rows]], pa.list_(pa.float64())), **{x: pa.array([[r[j] for r in rows]], pa.list_(pa.int64())) for j, x in ((1, "leaf"), (2, "leaf2"), (3, "n"))}})
+
+    lists = cells.select("v", "leaf", "leaf2", "ids").mapInArrow(scan, schema)
+    lists = lists.withColumn("part", F.spark_partition_id() % 64).groupBy("q", "part").applyInArrow(lambda key, t: merge(key, t), schema)
+    lists = lists.groupBy("q").applyInArrow(lambda key, t: merge(key, t), schema)
+    return lists.select("q", F.posexplode(F.slice(F.flatten(F.transform(F.arrays_zip("leaf", "leaf2", "n"), lambda x: F.array_repeat(F.struct(x["leaf"].alias("leaf"), x["leaf2"].alias("leaf2")), x["n"].cast("int")))), 1, k)).alias("i", "x")).select("q", "x.leaf", "x.leaf2")
+
+
+def _widths(places: list[tuple[int, int]], recall: float, second: bool) -> tuple[int, int]:
+    """How many leaves, and leaves of a leaf's own tree, to visit so that `recall` of the probes' true neighbours lie in them: the
+    pair with the least product. places: (place of the leaf in the probe's order, place within the leaf) of each neighbour."""
+    first, inner = np.array([p for p, _ in places]), np.array([p for _, p in places])
+    need, found = int(np.ceil(recall * len(places))), []
+    for depth in sorted({int(x) + 1 for x in np.quantile(inner, np.linspace(0.5, 1, 26), method="higher")}) if second else [1]:
+        ok = np.sort(first[inner < depth])
+        if len(ok) >= need:
+            width = int(ok[need - 1]) + 1
+            found.append((width * depth, width, depth))
+    return min(found)[1:]
+
+
+def _fit(cells: DataFrame, big: dict[int, int], dim: int) -> DataFrame:
+    """(leaf, tree, leaves): trees of the leaves in big ({leaf: rows}), each fitted in a task on about SAMPLE rows of its leaf."""
+    spark = cells.sparkSession
+    every = spark.createDataFrame([(leaf, -(-w // SAMPLE), w) for leaf, w in big.items()], "leaf long, every long, w long")  # as many rows as the tree on the driver has leaves at most
+    picked = cells.join(F.broadcast(every), "leaf").filter(F.pmod(F.xxhash64("d", F.lit(3)), F.col("every")) == 0).select("leaf", "w", "d", "v")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("leaf", "w", "v"))))
+        for (leaf, w), group in groupby(rows, key=lambda r: r[:2]):
+            x = np.frombuffer(b"".join(r[2] for r in group), np.float64).reshape(-1, dim)
+            tree = Tree(x, least=max(LEAF, LEAF_ROWS * len(x) // w))
+            yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["leaf", "tree"])
+
+    return materialise(picked.repartition("leaf").sortWithinPartitions("leaf", "d").mapInArrow(fit, "leaf long, tree binary"), "leaf-trees")
+
+
+def _past(rows: DataFrame, trees: DataFrame, f, schema: str, dim: int) -> DataFrame:
+    """f(tree, sizes, leaf, part of rows, vectors) for all rows (leaf, d, v, ids): rows of a leaf pass its tree, at most about PASS rows
+    each copy of it. trees: leaf, tree, sizes."""
+    n = rows.groupBy("leaf").agg(F.ceil(F.count("*") / PASS).alias("salts"))
+    deal = materialise(trees.join(n, "leaf"), "leaf-deal")
+    left = rows.join(F.broadcast(deal.select("leaf", "salts")), "leaf").withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts")))
+    left = left.select("leaf", "salt", F.lit(1).alias("kind"), "d", "v", "ids")
+    right = deal.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(b"").alias("d"), F.col("tree").alias("v"), F.col("sizes").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sizes = None
+        for b in batches:
+            at, leaves, kinds = 0, b.column("leaf").to_pylist(), b.column("kind").to_pylist()
+            while at < b.num_rows:
+                if kinds[at] == 0:
+                    tree, sizes = pickle.loads(b.column("v")[at].as_py()), b.column("ids")[at].as_py()
+                    at += 1
+                    continue
+                end = at
+                while end < b.num_rows and kinds[end] == 1:
+                    end += 1
+                part = b.slice(at, end - at)
+                yield from f(tree, sizes, leaves[at], part, _array(part.column("v"), dim))
+                at = end
+
+    return right.unionByName(left).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind", "d").mapInArrow(run, schema)
+
+
+def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding", sample: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every` their k nearest other rows found.
 
     Rows without an id, and vectors that are null, empty, zero or hold nulls or non-finite numbers take no part, nor do
-    those of another length than most. Equal vectors are one entry of the index with its k + 1 least ids, which is all
+    those of another length than most, whose product with the others is not defined. Equal vectors are one entry of the index with its k + 1 least ids, which is all
     that a list of k can show of them, and equal queries are searched once, so a vector that a third of all rows have
-    costs no more than another. A leaf with over BLOCK entries, or visits, is dealt over several tasks."""
+    costs no more than another. Neighbouring leaves lie together in shards of about BLOCK entries, a visit to a leaf
+    searches its shard, and a shard with more entries, or visits, is dealt over several tasks."""
     spark = table.sparkSession
     rows = _vectors(table, vec_id, embedding)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -157,9 +224,11 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     cells = first.groupBy("d").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     cells = materialise(cells, "cells")
+    total = cells.count()
     order = F.xxhash64("d", F.lit(1))
+    sample = sample or min(max(SAMPLE, min(total // ROWS_EACH, MOST_SAMPLE)), SAMPLE_BYTES // (8 * dim))
     picked = np.array([np.frombuffer(r.v, np.float64) for r in cells.orderBy(order).select("v").limit(sample).collect()])
-    tree = Tree(picked, least=max(LEAF, LEAF_ROWS * len(picked) // cells.count()))
+    tree = Tree(picked, least=max(LEAF, LEAF_ROWS * len(picked) // total))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,15 +236,47 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), b.column("ids"), pa.array(leaf, pa.int64())], ["d", "v", "ids", "leaf"])
 
     cells = materialise(cells.mapInArrow(place, "d binary, v binary, ids array<long>, leaf long"), "leaves")
+    held = {r.leaf: (r.w, r.ids) for r in cells.groupBy("leaf").agg(F.count("*").alias("w"), F.sum(F.size("ids")).alias("ids")).collect()}  # a row for each leaf of the tree on the driver
+    big = {leaf: w for leaf, (w, _) in held.items() if w > REFIT}
+    in_big = F.col("leaf").isin(list(big))
+    trees = None
+    if big:
+
+        def inner(tree, sizes, leaf, part, x):
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("leaf", "d", "v", "ids")] + [pa.array(tree.assign(x), pa.int64())], ["leaf", "d", "v", "ids", "leaf2"])
+
+        trees = _fit(cells, big, dim)
+        deep = _past(cells.filter(in_big).select("leaf", "d", "v", "ids"), trees.withColumn("sizes", F.lit(None).cast("array<long>")), inner, "leaf long, d binary, v binary, ids array<long>, leaf2 long", dim)
+        cells = materialise(deep.unionByName(cells.filter(~in_big).withColumn("leaf2", F.lit(0).cast("long")).select("leaf", "d", "v", "ids", "leaf2")), "deep-leaves")
+        sizes = cells.filter(in_big).groupBy("leaf", "leaf2").agg(F.sum(F.size("ids")).alias("n")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("leaf2", "n"))).alias("m"))
+        most = F.array_max(F.map_keys("m"))
+        trees = trees.join(sizes, "leaf").select("leaf", "tree", F.transform(F.sequence(F.lit(0).cast("long"), most), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).cast("array<long>").alias("sizes"))
+    else:
+        cells = cells.withColumn("leaf2", F.lit(0).cast("long"))
+
     asked = materialise(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "d"), "asked")
     queries = asked.groupBy("d").agg(F.count("*").alias("w"))
     queries = materialise(queries.join(cells.select("d", "v"), "d"), "queries")
     probes = [bytes(r.v) for r in queries.orderBy(F.xxhash64("d", F.lit(2))).select("v").limit(PROBES).collect()]
     if not probes:
         return spark.createDataFrame([], schema)
-    width = _calibrate(tree, cells, probes, dim, k, recall)
-    leaves = cells.groupBy("leaf").agg(F.count("*").alias("w"), F.sum(F.size("ids")).alias("ids")).collect()
-    held = {r.leaf: r.ids for r in leaves}
+    near = [tuple(r) for r in _truth(cells, probes, dim, k).collect()]  # at most PROBES * k rows
+    orders = [{leaf: i for i, leaf in enumerate(tree.visit(np.frombuffer(p, np.float64)))} for p in probes]
+    inside = {(q, leaf, 0): 0 for q, leaf, _ in near if leaf not in big}
+    if big:
+        wanted: dict[tuple[int, int], set] = {}
+        for q, leaf, leaf2 in near:
+            if leaf in big:
+                wanted.setdefault((q, leaf), set()).add(leaf2)
+
+        def told(tree, sizes, leaf, part, x):
+            for d, v, want in zip(part.column("d").to_pylist(), x, part.column("ids").to_pylist()):
+                order = {leaf2: i for i, leaf2 in enumerate(tree.visit(v))}
+                yield pa.RecordBatch.from_arrays([pa.array([int(d)] * len(want), pa.int64()), pa.array([leaf] * len(want), pa.int64()), pa.array(want, pa.int64()), pa.array([order[y] for y in want], pa.int64())], ["q", "leaf", "leaf2", "place"])
+
+        ask = spark.createDataFrame([(leaf, bytearray(str(q).encode()), bytearray(probes[q]), sorted(want)) for (q, leaf), want in wanted.items()], "leaf long, d binary, v binary, ids array<long>")
+        inside |= {(r.q, r.leaf, r.leaf2): r.place for r in _past(ask, trees, told, "q long, leaf long, leaf2 long, place long", dim).collect()}
+    width, depth = _widths([(orders[q][leaf], inside[q, leaf, leaf2]) for q, leaf, leaf2 in near], recall, bool(big)) if near else (1, 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,29 +287,53 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
                     if i >= width and seen > k:  # small leaves: go on until k rows are found beside the query
                         break
                     out.append((leaf, d, v))
-                    seen += held.get(leaf, 0)
+                    seen += held.get(leaf, (0, 0))[1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["leaf", "d", "v"])
 
+    def deeper(tree, sizes, leaf, part, x):
+        out = []
+        for d, data, v in zip(part.column("d").to_pylist(), part.column("v").to_pylist(), x):
+            seen = 0
+            for i, leaf2 in enumerate(tree.visit(v)):
+                if i >= depth and seen > k:
+                    break
+                out.append((leaf, leaf2, d, data))
+                seen += sizes[leaf2] if leaf2 < len(sizes) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["leaf", "leaf2", "d", "v"])
+
     visits = queries.select("d", "v").repartition("d").mapInArrow(walk, "leaf long, d binary, v binary")
-    # rows of a leaf for each task (blocks) and how often they are sent (salts): a row for each leaf, as many as the sample allows
-    blocks = {r.leaf: -(-r.w // BLOCK) for r in leaves}
-    salts = {r.leaf: -(-r["count"] // BLOCK) for r in visits.groupBy("leaf").count().collect()}
-    deal = spark.createDataFrame([(leaf, n, salts[leaf]) for leaf, n in blocks.items() if leaf in salts], "leaf long, blocks long, salts long")
+    if big:
+        visits = materialise(visits, "visits")
+        flat = visits.filter(~in_big).select("leaf", F.lit(0).cast("long").alias("leaf2"), "d", "v")
+        visits = flat.unionByName(_past(visits.filter(in_big).withColumn("ids", F.lit(None).cast("array<long>")), trees, deeper, "leaf long, leaf2 long, d binary, v binary", dim))
+    else:
+        visits = visits.withColumn("leaf2", F.lit(0).cast("long"))
+    # shards: neighbouring leaves; the windows run over the leaves of one tree, at most MOST_SAMPLE / LEAF
+    here = cells.groupBy("leaf", "leaf2").agg(F.count("*").alias("n")).withColumn("top", F.when(in_big, F.col("leaf") + 1).otherwise(0))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("top").orderBy("leaf", "leaf2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = materialise(here.select("leaf", "leaf2", "n", (F.shiftleft("top", 32) + F.floor(before / BLOCK)).alias("shard")), "shards")
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= SMALL else df
+
+    visits = materialise(visits.join(sized(shards.select("leaf", "leaf2", "shard")), ["leaf", "leaf2"]).select("shard", "d", "v").dropDuplicates(["shard", "d"]), "shard-visits")
+    deal = shards.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).join(visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("salts")), "shard")
+    deal = sized(materialise(deal, "deal"))
 
     def each(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    have = cells.join(F.broadcast(deal), "leaf").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks"))).withColumn("salt", each("salts"))
-    want = visits.join(F.broadcast(deal), "leaf").withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts"))).withColumn("block", each("blocks"))
-    cols = ("leaf", "block", "salt", "asks", "d", "v", "ids")
+    have = cells.join(sized(shards.select("leaf", "leaf2", "shard")), ["leaf", "leaf2"]).join(deal, "shard").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks"))).withColumn("salt", each("salts"))
+    want = visits.join(deal, "shard").withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts"))).withColumn("block", each("blocks"))
+    cols = ("shard", "block", "salt", "asks", "d", "v", "ids")
     both = have.withColumn("asks", F.lit(False)).select(*cols).unionByName(want.withColumn("asks", F.lit(True)).withColumn("ids", F.lit(None).cast("array<long>")).select(*cols))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, x, ids = None, [], None, []
         for b in batches:
             found = []
-            cells_of = zip(*(b.column(c).to_pylist() for c in ("leaf", "block", "salt")))
+            cells_of = zip(*(b.column(c).to_pylist() for c in ("shard", "block", "salt")))
             for key, group in groupby(enumerate(cells_of), key=lambda r: r[1]):
                 at = [i for i, _ in group]
                 part = b.slice(at[0], len(at))
@@ -234,7 +359,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["d", "s", "ids"])
 
-    near = both.repartition("leaf", "block", "salt").sortWithinPartitions("leaf", "block", "salt", "asks", "d").mapInArrow(search, "d binary, s array<double>, ids array<long>")
+    near = both.repartition("shard", "block", "salt").sortWithinPartitions("shard", "block", "salt", "asks", "d").mapInArrow(search, "d binary, s array<double>, ids array<long>")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = ((d, (s, ids)) for b in batches for d, s, ids in zip(*(b.column(c).to_pylist() for c in ("d", "s", "ids"))))
@@ -251,4 +376,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
 
 
 def op2(embeddings: DataFrame) -> DataFrame:
+    """The 20 nearest found of every row whose vec_id is divisible by 20, nearest first, ties to the smaller vec_id; all candidates
+    where there are fewer. Edge cases as in nearest(): unusable vectors are neither queries nor candidates, a query that has
+    no candidate gives no row, repeated rows are one candidate, an empty table gives no row."""
     return nearest(embeddings)

@@ -42,6 +42,20 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 20 * len(want)
 
 
+def test_neighbours_through_trees_of_leaves(spark, monkeypatch):
+    """A sample so small that leaves hold many rows: each gets a tree of its own."""
+    monkeypatch.setattr(neighbours, "REFIT", 100)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 30)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "PASS", 50)
+    rows = vectors()
+    want, got = brute(rows, 20), {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, _V), sample=64).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    assert sum(len({i for i, _ in w} & {i for i, _ in got[q]}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
 def test_neighbours_of_few_and_none(spark):
     rows = [(20 * i, [float(i), 1.0], 0, "", "", "") for i in range(5)]
     got = neighbours.op2(spark.createDataFrame(rows, _V)).collect()
