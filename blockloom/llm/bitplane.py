@@ -8,7 +8,6 @@ The last block may be shorter than the others."""
 
 from __future__ import annotations
 
-import contextlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, writing
 from .tokens import encoder, parts, vocabulary
 
 MAGIC, BLOCK, LEVEL = b"BLPLANE1", 65_536, 3
@@ -48,19 +47,6 @@ def unplanes(parts: list[np.ndarray], n: int, kind: int = 8) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
-@contextlib.contextmanager
-def _writing(uri: str):
-    """A stream to uri that appears there only when it is whole; a second attempt at a task writes the same bytes again."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{os.getpid()}-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
-    with system.open_output_stream(part) as out:
-        yield out
-    system.move(part, path)
-
-
 class Writer:
     def __init__(self, out, kind: int = 8, block: int = BLOCK, level: int = LEVEL) -> None:
         self.out, self.kind, self.block, self.at = out, kind, block, len(MAGIC)
@@ -151,7 +137,7 @@ def write_tokens(docs: DataFrame, file: str, spaces: str, end: int, kind: int =
         if first is None:
             return
         path = f"{folder}/shard-{shard:07d}.planes"
-        with _writing(path) as out:
+        with writing(path) as out:
             w = Writer(out, kind)
             while first is not None:
                 for part in parts(first):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import neighbours, warc
@@ -82,7 +83,9 @@ def test_sf_recall(spark):
     assert hit >= 0.9 * n
 
 
-def test_audit_locates_all_damage(spark):
+@pytest.mark.parametrize("top", [4096, 2])
+def test_audit_locates_all_damage(spark, monkeypatch, top):
+    monkeypatch.setattr(warc, "TOP", top)
     r = random.Random(1)
     good = {i: f"record {i} {r.random()}" for i in list(range(700)) + [10_000, 10_001, 5_000_000]}
     bad = dict(good)
@@ -124,3 +127,36 @@ def test_warc_files(spark):
     files = spark.createDataFrame([("p", bytearray(plain)), ("z", bytearray(packed)), ("e", bytearray(b""))], "path string, content binary")
     got = warc.read_warc(files).orderBy("path", "number").collect()
     assert [(r.path, bytes(r.record)) for r in got] == [("p", records[0]), ("p", records[1]), ("z", records[0]), ("z", records[1])]
+
+
+def test_parsing_is_linear_and_by_steps():
+    import io
+
+    r = random.Random(4)
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + r.randbytes(n) + b"\r\n\r\n" for n in [0, 5, 70_000, 65_536 - 40, 300_000, 1] * 20]
+
+    class Steps(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            assert 0 < n <= warc.STEP
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    for data in (b"".join(records), warc.pack_warc(records)):
+        f, at = Steps(data), 0
+        for offset, record in warc.parse_stream(f):
+            assert record == records[at] and offset < len(data)
+            at += 1
+        assert at == len(records) and f.taken == len(data)
+
+
+def test_written_archive_is_read_back(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    rows = [(i, f"u{i}", "b" * (i % 300)) for i in range(200)] + [(None, "none", "x"), (7, "again", "y")]
+    df = spark.createDataFrame(rows, "i long, u string, b string").select(F.col("i").alias("number"), warc.warc_record(F.col("i"), F.col("u"), F.col("b")).alias("record"))
+    files = warc.write_warc(df, "test")
+    assert files.count() > 10 and files.agg(F.sum(F.size("numbers"))).first()[0] == len(rows)
+    want = sorted((str(r.number), r.record.encode()) for r in df.collect())
+    assert sorted((str(r.number), bytes(r.record)) for r in warc.archive(files).collect()) == want
