@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 from ..model import DecomposeLimits
 from .framing import INLINE, In, Out, deflate, probe_level
@@ -106,19 +107,29 @@ def _segments(meta: bytes):
         yield m.int(), m.int(), m.bytes()
 
 
-def rebuild(meta: bytes, parts: list[bytes]) -> bytes:
-    out, left = [], iter(parts)
-    for kind, level, inline in _segments(meta):
-        if kind == RAW:
-            out.append(inline)
-            continue
-        part = next(left, None)
+def deflated_segments(meta: bytes) -> int:
+    return sum(kind == DEFLATED for kind, *_ in _segments(meta))
+
+
+def rebuild(meta: bytes, parts: list[bytes], threads: int = 4) -> bytes:
+    """The archive again. Where more than one payload has to be deflated they are so in `threads` threads (zlib runs outside the
+    interpreter's lock) and put together in order."""
+    segments, left, jobs = list(_segments(meta)), iter(parts), []
+    for kind, level, inline in segments:
+        part = inline if kind == RAW else next(left, None)
         if part is None:
             raise ValueError("too few parts for this archive")
-        out.append(deflate(part, level) if kind == DEFLATED else part)
+        jobs.append((part, level if kind == DEFLATED else None))
     if next(left, None) is not None:
         raise ValueError("parts are left over")
-    return b"".join(out)
+
+    def put(job: tuple) -> bytes:
+        return job[0] if job[1] is None else deflate(*job)
+
+    if threads < 2 or deflated_segments(meta) < 2:
+        return b"".join(map(put, jobs))
+    with ThreadPoolExecutor(threads) as pool:
+        return b"".join(pool.map(put, jobs))
 
 
 def listing(meta: bytes) -> list[tuple[str, int, int]]:

@@ -13,7 +13,9 @@ from ..model import ChunkParams
 #: What an unfinished download's name ends with, and the magic numbers of containers.
 TRANSIENT = (".part", ".tmp", ".crdownload")
 MAGIC = {"ZIP": ("504B0304", "504B0506"), "CAB": ("4D534346",), "SEVEN_Z": ("377ABCAF271C",)}
-_BYTES = r"^\s*([0-9]+(?:[.,][0-9]+)?)\s*([kmgt]?)(?:i?b)?\s*$"
+#: Units of sizes: a letter alone, with b, or with ib; b by itself is bytes.
+UNITS = {"": 0, "b": 0} | {f"{letter}{end}": power for power, letter in enumerate("kmgt", 1) for end in ("", "b", "ib")}
+_SIZE = r"^\s*(\d+)([.,]\d+)?\s*([a-z]*)\s*$"
 
 
 def sha256(payload: Column) -> Column:
@@ -58,7 +60,7 @@ def sanitise(name: Column) -> Column:
     """A relative path with forward slashes, or null: blank, absolute, with a colon, ending in a slash, or with a segment
     that is empty, . or .. ."""
     n = F.replace(name, F.lit("\\"), F.lit("/"))
-    bad = (F.trim(n) == "") | n.contains(":") | n.rlike(r"(^|/)(\.\.?)?(/|$)")
+    bad = ~n.rlike(r"\S") | n.contains(":") | n.rlike(r"(^|/)(\.\.?)?(/|$)")
     return F.when(~bad, n)
 
 
@@ -92,17 +94,19 @@ def seconds(nanos: Column) -> Column:
 def parse_bytes(text: Column) -> Column:
     """A number and a binary unit; all units are powers of 1024 and what is left of a byte is cut. Null if it is neither."""
     low = F.lower(text)
-    n = F.replace(F.regexp_extract(low, _BYTES, 1), F.lit(","), F.lit(".")).try_cast("double")
-    unit = F.regexp_extract(low, _BYTES, 2)
-    factor = F.when(unit == "k", 1024.0).when(unit == "m", 1024.0**2).when(unit == "g", 1024.0**3).when(unit == "t", 1024.0**4).otherwise(1.0)
+    whole, part, unit = (F.regexp_extract(low, _SIZE, k) for k in (1, 2, 3))
+    n = F.concat(whole, F.replace(part, F.lit(","), F.lit("."))).try_cast("double")
+    factor = F.lit(None).cast("double")
+    for power in sorted(set(UNITS.values())):
+        factor = F.when(unit.isin([u for u, p in UNITS.items() if p == power]), 1024.0**power).otherwise(factor)
     return F.floor(n * factor)
 
 
 def parse_size(text: str) -> int:
-    m = re.match(_BYTES, text.lower())
-    if not m:
+    m = re.match(_SIZE, text.lower())
+    if not m or m[3] not in UNITS:
         raise ValueError(f"not a size: {text}")
-    return int(float(m[1].replace(",", ".")) * 1024 ** " kmgt".index(m[2] or " "))
+    return int(float(m[1] + (m[2] or "").replace(",", ".")) * 1024 ** UNITS[m[3]])
 
 
 def saved_fraction(moved: Column, size: Column) -> Column:
@@ -152,17 +156,17 @@ def mix(a: int, b: int, c: int) -> int:
     return x ^ x >> 31
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+#: Blocks that a revision rewrites, at most.
+RUN = 4
 
 
 def block_revision(file_id: int, revision: int, block: int, blocks: int) -> int:
-    """How many revisions of a file have touched one of its blocks: each rewrites a run of 1 to 4 (fixed values: salts)."""
-    n = 0
-    for r in range(1, revision + 1):
-        start = _signed(mix(file_id, r, 0x5EED)) % blocks
-        n += start <= block < start + 1 + _signed(mix(file_id, r, 0xA11C)) % 4
-    return n
+    """How many revisions of a file have touched one of its blocks: each rewrites a run of 1 to RUN blocks, where one draw says. A
+    file without blocks is touched by all of them."""
+    if blocks <= 0:
+        return revision
+    draws = (divmod(mix(file_id, r, blocks), RUN) for r in range(1, revision + 1))
+    return sum(0 <= block - place % blocks <= more for place, more in draws)
 
 
 def cab_checksum(data: bytes, seed: int = 0) -> int:

@@ -43,21 +43,24 @@ def open_level(rows: DataFrame, limits: DecomposeLimits) -> DataFrame:
     return rows.mapInArrow(step, _STEP)
 
 
-def open_seven_z(step: DataFrame, limits: DecomposeLimits) -> DataFrame:
+def open_seven_z(step: DataFrame, limits: DecomposeLimits, scratch: str) -> DataFrame:
     """step with its 7z blobs of up to the limit opened, one after the other on the driver (see codecs.sevenz); one that
-    can't be repeated exactly stays as it is. Only 7z payloads travel, one at a time."""
+    can't be repeated exactly stays as it is. Only 7z payloads travel, and the rows of one archive are written to `scratch`
+    before the next is opened, so the driver holds one archive."""
     spark, shut = step.sparkSession, (F.col("kind") == "blob") & (F.col("opaque") == "SEVEN_Z") & (F.col("size") <= limits.max_seven_z)
-    rows = []
+    done = []
     for r in step.filter(shut).toLocalIterator():
         opened = sevenz.decompose(spark, bytes(r.payload), limits)
         if opened:
             meta, parts = opened
-            rows.append((r.version_id, r.path, r.depth, "container", int(ContainerFormat.SEVEN_Z), bytearray(meta), r.size, None, None))
+            rows = [(r.version_id, r.path, r.depth, "container", int(ContainerFormat.SEVEN_Z), bytearray(meta), r.size, None, None)]
             rows += [(r.version_id, [*r.path, k], r.depth + 1, "open", None, None, len(p), bytearray(p), None) for k, p in enumerate(parts)]
-    if not rows:
+            spark.createDataFrame(rows, _STEP).write.mode("append").parquet(scratch)
+            done.append((r.version_id, r.path))
+    if not done:
         return step
-    done = spark.createDataFrame([(v, p) for v, p, _, kind, *_ in rows if kind == "container"], "version_id string, path array<int>")
-    return step.join(done, ["version_id", "path"], "left_anti").select(step.columns).unionByName(spark.createDataFrame(rows, _STEP))
+    opened = spark.createDataFrame(done, "version_id string, path array<int>")
+    return step.join(opened, ["version_id", "path"], "left_anti").select(step.columns).unionByName(spark.read.schema(_STEP).parquet(scratch))
 
 
 class Decomposed:
@@ -71,7 +74,7 @@ class Decomposed:
         for k in range(MAX_DEPTH + 1):
             open_level(level, limits).write.mode("overwrite").parquet(f"{scratch}/level-{k}")
             step = spark.read.schema(_STEP).parquet(f"{scratch}/level-{k}")
-            step = open_seven_z(step, limits)
+            step = open_seven_z(step, limits, f"{scratch}/seven-{k}")
             done.append(step.filter("kind != 'open'"))
             level = step.filter("kind = 'open'").select("version_id", "path", "depth", "payload")
             if not level.head(1):

@@ -12,6 +12,8 @@ from .. import model
 from ..model import ChunkParams
 
 PREFIX = "p"
+#: Hashes of a request that are broadcast (32 bytes each); more are joined by a shuffle.
+ASKED = 500_000
 
 
 def distinct_blocks(blocks: DataFrame) -> DataFrame:
@@ -80,9 +82,23 @@ class BlockStore:
     def contains(self, hashes: DataFrame) -> DataFrame:
         return hashes.join(self.blocks().select("hash").distinct(), "hash", "left_semi")
 
+    def find(self, hashes: DataFrame) -> DataFrame:
+        """hash, length, payload of those hashes that are there, each once. Only they leave the scan: a request of up to ASKED
+        hashes is broadcast to it (and its prefixes prune folders), a larger one meets the blocks by hash before copies are
+        dropped, so other payloads are never grouped."""
+        asked = hashes.select("hash").distinct().withColumn(PREFIX, F.hex(F.substring("hash", 1, 1)))
+        n = asked.limit(ASKED + 1).count()
+        stored = self.blocks()
+        if PREFIX not in stored.columns:
+            return stored.select("hash", "length", "payload")
+        if n <= ASKED:
+            folders = [r[0] for r in asked.select(PREFIX).distinct().collect()]  # 256 at most
+            stored, asked = stored.filter(F.col(PREFIX).isin(folders)), F.broadcast(asked)
+        return distinct_blocks(stored.join(asked, [PREFIX, "hash"], "left_semi"))
+
     def get(self, hashes: DataFrame) -> DataFrame:
         """hash, length, payload of each hash asked for; one that is not there fails the query."""
-        found = hashes.select("hash").distinct().join(distinct_blocks(self.blocks()), "hash", "left")
+        found = hashes.select("hash").distinct().join(self.find(hashes), "hash", "left")
         return found.withColumn("payload", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("block not in store: "), F.lower(F.hex("hash"))))))
 
 
@@ -91,8 +107,13 @@ def store_import(blocks: DataFrame, other: DataFrame) -> DataFrame:
     return distinct_blocks(other).join(blocks.select("hash"), "hash", "left_anti")
 
 
-def composite(*sources: DataFrame) -> DataFrame:
-    """hash, length, payload from the first source that has the hash."""
+def composite(*sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """hash, length, payload from the first source that has the hash; of those that are wanted, where that is said: other payloads
+    are dropped before anything is grouped."""
+    if wanted is not None:
+        asked = wanted.select("hash").distinct()
+        asked = F.broadcast(asked) if asked.limit(ASKED + 1).count() <= ASKED else asked
+        sources = tuple(s.join(asked, "hash", "left_semi") for s in sources)
     ranked = [s.select("hash", F.struct(F.lit(i).alias("source"), "length", "payload").alias("x")) for i, s in enumerate(sources)]
     out = ranked[0]
     for r in ranked[1:]:

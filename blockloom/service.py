@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import ssl
 import threading
@@ -65,7 +66,7 @@ class Service:
         """Blocks in the order asked for; one that is not there fails before anything is sent."""
         spark, hashes = self.store.spark, wire.read_hash_list(body)
         ask = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(hashes)], "seq int, hash binary")
-        frames = delta.fetch(ask, self.store.store.blocks().dropDuplicates(["hash"])).orderBy("seq").toLocalIterator()
+        frames = delta.fetch(ask, self.store.store.find(ask)).orderBy("seq").toLocalIterator()
         return b"".join(wire.write_frames(((bytes(r.hash), bytes(r.payload)) for r in frames), self.store.params.max))
 
     def _full(self, info) -> bytes:
@@ -89,8 +90,13 @@ class Service:
         return self._client_config() | {"chunkMin": p.min, "chunkAvg": p.avg, "chunkMax": p.max, "storedBlocks": s.chunk_count, "storedBytes": s.stored_bytes, "maxSevenZBytes": self.store.limits.max_seven_z, "compress": bool(self.compress), "compressLevel": self.compress}
 
     def _page(self) -> bytes:
-        rows = "".join(f"<tr><td>{r.id}<td>{r.size_human}<td>{r.containers}" for r in index.api_view(self.store.versions()).collect())
-        return f"<!doctype html><title>versions</title><table>{rows}</table>".encode()
+        """The administrator's page: what the store holds and a line for each version; every value is escaped."""
+        names = [c for c, _ in index.FIELDS if c != "file_modified"] + ["size_human"]
+        rows = index.api_view(self.store.versions()).collect()
+        lines = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}" for c in names) for r in rows)
+        config = "".join(f"<tr><th>{html.escape(k)}<td>{html.escape(str(v))}" for k, v in self._admin_config().items())
+        head = "".join(f"<th>{c.replace('_', ' ')}" for c in names)
+        return f"<!doctype html><title>versions</title><table>{config}</table><table><tr>{head}{lines}</table>".encode()
 
     @staticmethod
     def _json(x) -> tuple:
@@ -170,7 +176,7 @@ def options(argv: list[str]) -> dict[str, str]:
 
 
 def main(argv: list[str]) -> int:
-    """server --store DIR --archives DIR [--port N --admin-port N --avg SIZE --max SIZE], gen --out DIR --count N --start SIZE."""
+    """server --store DIR --archives DIR [--port N --admin-port N --avg SIZE --max SIZE --cert FILE --key FILE --client-ca FILE], gen --out DIR --count N --start SIZE."""
     command, o = argv[0] if argv else "", options(argv[1:])
     if command == "gen":
         from . import generator
@@ -186,8 +192,9 @@ def main(argv: list[str]) -> int:
         store = VersionStore(SparkSession.builder.getOrCreate(), o["store"], o["archives"], params, force="force-reindex" in o)
         print(store.rescan())
         service = Service(store, int(o.get("level", "1")))
-        serve(service, port=int(o.get("port", "8080")))
-        serve(service, port=int(o.get("admin-port", "8081")), admin=True)
+        tls = server_tls(o["cert"], o["key"], o.get("client-ca")) if "cert" in o else None
+        serve(service, port=int(o.get("port", "8080")), tls=tls)
+        serve(service, port=int(o.get("admin-port", "8081")), admin=True, tls=tls)
         threading.Event().wait()
     print(main.__doc__)
     return 1

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import ChunkParams, ContainerFormat, DecomposeLimits
 
@@ -87,6 +88,40 @@ def from_bytes(data: bytes) -> Blueprint:
     return Blueprint(raw[6:38], size, ChunkParams(low, avg, high), limits, tuple(nodes), tuple(refs))
 
 
+def write(heads: DataFrame, nodes: DataFrame, refs: DataFrame, params: ChunkParams, limits: DecomposeLimits, folder: str) -> DataFrame:
+    """Write folder/<version_id>.bp for each of heads (version_id, sha256, size): version_id, sha256 and bytes of the file. A version's
+    nodes and references meet in one task, in order; the file appears whole, in a folder that all executors see."""
+    kinds = "version_id string, path array<int>, seq int, kind string, format int, meta binary, size long, hash binary, length int, sha256 string, total long"
+    h = heads.select("version_id", F.lit(None).cast("array<int>").alias("path"), F.lit("").alias("kind"), "sha256", F.col("size").alias("total"))
+    n = nodes.select("version_id", "path", "kind", "format", "meta", "size")
+    r = refs.select("version_id", "path", "seq", "hash", "length")
+    rows = h.unionByName(n, allowMissingColumns=True).unionByName(r, allowMissingColumns=True).select(*[x.split()[0] for x in kinds.split(", ")])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        import os
+        from itertools import groupby
+
+        each = (x for b in batches for x in b.to_pylist())
+        for version, group in groupby(each, key=lambda x: x["version_id"]):
+            head, mine, parts = None, [], []
+            for x in group:
+                if x["sha256"] is not None:
+                    head = x
+                elif x["hash"] is None:
+                    mine.append((x["path"], x["kind"], x["format"], x["meta"], x["size"]))
+                else:
+                    parts.append((x["path"], x["seq"], x["hash"], x["length"]))
+            raw = to_bytes(Blueprint(bytes.fromhex(head["sha256"]), head["total"], params, limits, tuple(mine), tuple(parts)))
+            path = f"{folder}/{version}.bp"
+            with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
+                f.write(raw)
+            os.replace(f"{path}.{os.getpid()}.tmp", path)
+            yield pa.RecordBatch.from_pydict({"version_id": [version], "sha256": [hashlib.sha256(raw).hexdigest()], "bytes": [len(raw)]})
+
+    return rows.repartition("version_id").sortWithinPartitions("version_id", "path", "seq").mapInArrow(make, "version_id string, sha256 string, bytes long")
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Rows of blueprint files (version_id, content): version_id, path, kind, format, meta, size, seq, hash, length; node
     rows have no hash, block rows have no kind."""

@@ -90,18 +90,13 @@ class VersionStore:
             stats = {r.version_id: r for r in tree.blueprint_stats(d.nodes, d.refs).collect()}
             events = {r.version_id: r for r in tree.container_counters(d.events).collect()}
             sha = {r.version_id: r.sha256 for r in digests.collect()}
-            nodes, refs = d.nodes.collect(), d.refs.collect()  # metadata of the new versions, as their blueprints hold it
+            heads = spark.createDataFrame([(r.id, sha[r.id], r.length) for r in files], "version_id string, sha256 string, size long")
+            written = {r.version_id: r for r in blueprint.write(heads, d.nodes, d.refs, self.params, self.limits, f"{self.path}/blueprints").collect()}
             out = []
             for r in files:
-                mine = tuple((list(n.path), n.kind, n.format, None if n.meta is None else bytes(n.meta), n.size) for n in nodes if n.version_id == r.id)
-                parts = tuple((list(x.path), x.seq, bytes(x.hash), x.length) for x in refs if x.version_id == r.id)
-                raw = blueprint.to_bytes(blueprint.Blueprint(bytes.fromhex(sha[r.id]), r.length, self.params, self.limits, mine, parts))
-                with open(f"{self.path}/blueprints/{r.id}.bp.tmp", "wb") as f:
-                    f.write(raw)
-                os.replace(f"{self.path}/blueprints/{r.id}.bp.tmp", f"{self.path}/blueprints/{r.id}.bp")
-                s, e = stats[r.id], events.get(r.id)
+                bp, s, e = written[r.id], stats[r.id], events.get(r.id)
                 out.append({
-                    "id": r.id, "file_name": r.name, "size": r.length, "sha256": sha[r.id], "blueprint_sha256": hashlib.sha256(raw).hexdigest(), "blueprint_bytes": len(raw), "block_refs": s.chunk_refs,
+                    "id": r.id, "file_name": r.name, "size": r.length, "sha256": sha[r.id], "blueprint_sha256": bp.sha256, "blueprint_bytes": bp.bytes, "block_refs": s.chunk_refs,
                     "distinct_blocks": s.distinct_chunks, "containers": e.containers if e else 0, "opaque_containers": e.opaque_containers if e else 0, "ingested_at": now, "file_modified": r.modified,
                 })
             assert {v["id"] for v in out} == set(ids)
@@ -124,7 +119,7 @@ def rebuild_blueprint(spark: SparkSession, b: blueprint.Blueprint, *sources: Dat
     from .operators.store import composite
 
     nodes, refs = _tables(spark, b)
-    data = bytes(rebuild.rebuild_versions(nodes, refs, composite(*sources)).first().payload)
+    data = bytes(rebuild.rebuild_versions(nodes, refs, composite(*sources, wanted=refs)).first().payload)
     if hashlib.sha256(data).digest() != b.archive_hash:
         raise ValueError("the rebuilt archive has another digest")
     return data
@@ -164,7 +159,7 @@ def fetch_delta(server: VersionStore, base: bytes, id_: str, cache: str, mode: R
     need = tree.in_blueprint_order(refs, ["path", "seq"])
     missing = delta.missing_blocks(need, local.blocks())
     ask = missing.select(F.col("first_pos").alias("seq"), "hash")
-    got = delta.fetch(ask, server.store.blocks().dropDuplicates(["hash"])).select("hash", "length", "payload")
+    got = delta.fetch(ask, server.store.find(ask)).select("hash", "length", "payload")
     incoming = BlockStore(spark, f"file://{cache}/incoming-{id_}", b.params)
     try:
         if incoming.append(got) + incoming.count() < missing.count():
@@ -208,5 +203,5 @@ def _members(spark, b, nodes, refs, sources) -> list[tuple[str, bytes]] | None:
         return None
     below = nodes.filter("depth > 0").select(F.concat(F.lit("p"), F.col("path")[1].cast("string")).alias("version_id"), F.expr("slice(path, 2, size(path))").alias("path"), (F.col("depth") - 1).alias("depth"), "kind", "format", "meta", "size")
     parts = refs.filter("size(path) > 1").select(F.concat(F.lit("p"), F.col("path")[1].cast("string")).alias("version_id"), F.expr("slice(path, 2, size(path))").alias("path"), "seq", "hash", "length")
-    made = {r.version_id: bytes(r.payload) for r in rebuild.rebuild_versions(below, parts, composite(*sources)).toLocalIterator()}
+    made = {r.version_id: bytes(r.payload) for r in rebuild.rebuild_versions(below, parts, composite(*sources, wanted=parts)).toLocalIterator()}
     return [(n, made[f"p{k}"]) for n, k in names]
