@@ -16,6 +16,7 @@ from ..functions.chunker import chunk
 from ..model import ChunkParams, DecomposeLimits
 from ..operators import delta, rebuild, repack, store, tree
 from ..sources import index, scan
+from .formats import FORMATS
 
 GRID = 256
 CDC = ChunkParams(64, 256, 1024)
@@ -337,10 +338,10 @@ CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - (block_bytes + blocks_missing * 37
     ),
     "crc32_payload": (crc32_payload, None),
     "gzip_ratio": (gzip_ratio, None),
-    "level_probe": (level_probe, None),
+    "level_probe": (level_probe, "SELECT doc_id, 1 + doc_id % 9 AS level, true AS found FROM documents"),
     "zip_roundtrip": (lambda s, d: _round_trip(s, d, zip_codec, _zip_of), None),
     "cab_roundtrip": (lambda s, d: _round_trip(s, d, cab_codec, cab_codec.write), None),
-}
+} | FORMATS
 
 
 def queries() -> dict:
