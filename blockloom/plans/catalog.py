@@ -22,11 +22,15 @@ GRID = 256
 CDC = ChunkParams(64, 256, 1024)
 HEX = "lower(hex(hash))"
 
-_NAMES = "('a.b.zip'), ('.zip'), ('plain'), ('app.7z'), ('app.zip'), ('incoming.zip.part'), ('x.TMP'), ('.hidden'), ('y.crdownload'), ('d/e.txt'), ('a\\\\b.txt'), ('/abs'), ('c:\\\\x'), ('a/../b'), ('a//b'), ('./a'), ('dir/'), (' '), (''), ('ok name.txt')"
-_SIZES = "('64'), ('1k'), ('1.5 MB'), ('2,5g'), ('3TiB'), ('10 kib'), ('x'), (''), ('7b'), ('1..2k')"
-_HEADS = "('504B0304140000000800', 500), ('504B0506000000000000', 22), ('4D53434600000000', 40), ('377ABCAF271C0004', 99), ('504B0304140000000800', 21), ('7F454C4602010100', 500), ('', 0)"
-_FILES = "('a/app.7z', 'app.7z', 10, '2024-01-02T00:00:00.000000001Z'), ('a/app.zip', 'app.zip', 20, '2024-01-01T00:00:00Z'), ('a/b.zip', 'b.zip', 30, '2024-01-03T00:00:00Z'), ('a/c.zip', 'c.zip', 40, '2024-01-04T00:00:00Z'), ('a/d.cab', 'd.cab', 50, '2024-01-05T00:00:00Z'), ('a/e.cab.part', 'e.cab.part', 60, '2024-01-06T00:00:00Z')"
-_INDEX = "('app', 10, '2024-01-02T00:00:00.000000001Z', true), ('b', 30, NULL, true), ('c', 41, '2024-01-04T00:00:00Z', true)"
+#: Inputs in expressions that both Spark and the SQL of a query read.
+_NAME = "CASE p_partkey % 16 WHEN 0 THEN '../' || p_name WHEN 1 THEN '/' || p_name WHEN 2 THEN 'c:' || chr(92) || p_name WHEN 3 THEN 'a//' || p_name WHEN 4 THEN './' || p_name WHEN 5 THEN p_name || '/' WHEN 6 THEN chr(9) || chr(10) WHEN 7 THEN ' ' WHEN 8 THEN '' WHEN 9 THEN 'd' || chr(92) || p_name || '.txt' WHEN 10 THEN 'a/../' || p_name WHEN 11 THEN '.' || p_name WHEN 12 THEN p_name || '.zip.PART' WHEN 13 THEN p_name || '.crdownload' WHEN 14 THEN p_name || '.b.zip' ELSE 'd/e ' || p_name END"
+_SIZE_TEXT = "CASE o_orderkey % 13 WHEN 0 THEN o_custkey || '' WHEN 1 THEN o_custkey || 'k' WHEN 2 THEN ' ' || o_custkey || '.5 MB ' WHEN 3 THEN o_custkey || ',25g' WHEN 4 THEN o_custkey || 'TiB' WHEN 5 THEN o_custkey || ' kib' WHEN 6 THEN o_custkey || 'ib' WHEN 7 THEN o_custkey || 'b' WHEN 8 THEN 'x' || o_custkey WHEN 9 THEN '' WHEN 10 THEN o_custkey || '..2k' WHEN 11 THEN o_custkey || 'kk' ELSE o_custkey || 'mb' END"
+_HEAD = "CASE o_orderkey % 7 WHEN 0 THEN '504B0304140000000800' WHEN 1 THEN '504B0506000000000000' WHEN 2 THEN '4D53434600000000' WHEN 3 THEN '377ABCAF271C0004' WHEN 4 THEN '7F454C4602010100' WHEN 5 THEN '504B01' ELSE '' END"
+_ACCEPT = "CASE event_id % 5 WHEN 0 THEN 'gzip' WHEN 1 THEN 'br, GZIP;q=0' WHEN 2 THEN event_type WHEN 3 THEN NULL ELSE 'deflate, ' || event_type || ', gzip' END"
+#: Files of a folder, and an index of versions, made of customers.
+_FILE = "'a/v' || c_custkey % 700 || CASE c_custkey % 3 WHEN 0 THEN '.7z' WHEN 1 THEN '.zip' ELSE '.cab' END || CASE WHEN c_custkey % 17 = 0 THEN '.part' ELSE '' END AS path, 'v' || c_custkey % 700 || CASE c_custkey % 3 WHEN 0 THEN '.7z' WHEN 1 THEN '.zip' ELSE '.cab' END || CASE WHEN c_custkey % 17 = 0 THEN '.part' ELSE '' END AS name, c_custkey % 700 * 10 AS length, '2024-01-01T00:00:00.' || c_custkey % 7 || 'Z' AS modified"
+_INDEXED = "'v' || c_custkey AS id, c_custkey * 10 + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN c_custkey % 4 > 0 THEN '2024-01-01T00:00:00.' || c_custkey % 7 || 'Z' END AS file_modified, c_custkey % 13 > 0 AS bp"
+
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +57,20 @@ def _cdc(docs: DataFrame) -> DataFrame:
     return chunk(docs, CDC, ("doc_id",), "text", keep=False)
 
 
-def _values(spark: SparkSession, rows: str, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+def _of(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*columns)
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.sql(f"SELECT {_FILE} FROM {{c}}", c=spark.read.parquet(f"{d}/customer.parquet"))
+    return store.first_version_wins(files.filter(scalars.not_transient(F.col("name"))).withColumn("id", scalars.version_id(F.col("name"))))
+
+
+def _pending(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).filter("rank = 1")
+    known = spark.sql(f"SELECT {_INDEXED} FROM {{c}} WHERE c_custkey < 600", c=spark.read.parquet(f"{d}/customer.parquet"))
+    return scan.pending(files, known, known.filter("bp").select("id")).select("id", "path", "action")
+
 
 
 def _move(spark, d):
@@ -92,17 +108,21 @@ def composite_lookup(spark, d):
 
 
 def request_order(spark, d):
-    """The first stretch of each document, asked for in descending order of ids; copies are served again."""
+    """All blocks of all documents, asked for in descending order of ids; copies are served again."""
     blocks = grid(_docs(spark, d))
-    ask = blocks.filter("seq = 0").select((-F.col("doc_id")).alias("seq"), "hash")
+    ask = blocks.select((-F.col("doc_id") * (1 << 24) + F.col("seq")).alias("seq"), "hash")
     return delta.fetch(ask, store.distinct_blocks(blocks)).select("seq", F.expr(HEX).alias("hash"), "length")
 
 
+
 def reassemble_verify(spark, d):
+    """Every document from its blocks; one without blocks is empty."""
     docs = _docs(spark, d)
     blocks = grid(docs)
     made = rebuild.concat_blocks(blocks.select("doc_id", "seq", "hash"), store.distinct_blocks(blocks), ["doc_id"])
-    return rebuild.verify(made, docs.select("doc_id", F.sha2("text", 256).alias("sha256")), ["doc_id"])
+    whole = docs.select("doc_id").join(made, "doc_id", "left").withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    return rebuild.verify(whole, docs.select("doc_id", F.sha2("text", 256).alias("sha256")), ["doc_id"])
+
 
 
 def frame_verify(spark, d):
@@ -207,9 +227,10 @@ hi AS (SELECT doc_id, text, unnest(range(0, (len(text) + {GRID - 1}) // {GRID}))
 h AS (SELECT doc_id, seq::INT AS seq, substr(text, (seq * {GRID} + 1)::BIGINT, {GRID}) AS part FROM hi),
 n AS (SELECT doc_id, seq, sha256(part) AS hash, strlen(part)::INT AS length, doc_id * 16777216 + seq AS pos FROM h)"""
 _HUMAN = "CASE WHEN {0} < 1024 THEN format('{{}} B', {0}) WHEN {0} < 1048576 THEN printf('%.2f KiB', floor({0} * 100 / 1024.0 + 0.5) / 100) WHEN {0} < 1073741824 THEN printf('%.2f MiB', floor({0} * 100 / 1048576.0 + 0.5) / 100) WHEN {0} < 1099511627776 THEN printf('%.2f GiB', floor({0} * 100 / 1073741824.0 + 0.5) / 100) ELSE printf('%.2f TiB', floor({0} * 100 / 1099511627776.0 + 0.5) / 100) END"
-_SANE = r"(CASE WHEN trim(replace(name, '\', '/')) = '' OR contains(name, ':') OR regexp_matches(replace(name, '\', '/'), '(^|/)(\.\.?)?(/|$)') THEN NULL ELSE replace(name, '\', '/') END)"
+_SANE = r"(CASE WHEN regexp_matches(name, '^\s*$') OR contains(name, ':') OR regexp_matches(replace(name, '\', '/'), '(^|/)(\.\.?)?(/|$)') THEN NULL ELSE replace(name, '\', '/') END)"
 _ID = r"regexp_replace(name, '^(.+)\.[^.]*$', '\1')"
-_SQL_NAMES = _NAMES.replace("\\\\", "\\")
+_FILES_SQL = f"f AS (SELECT *, {_ID} AS id FROM (SELECT {_FILE} FROM customer) WHERE name NOT LIKE '%.part'), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path)::INT AS rank FROM f)"
+_PENDING_SQL = f"WITH {_FILES_SQL}, i AS (SELECT {_INDEXED} FROM customer WHERE c_custkey < 600), p AS (SELECT o.id, path, CASE WHEN i.id IS NULL THEN 'new' WHEN bp AND size = length AND file_modified IS NULL THEN 'adopt' WHEN bp AND size = length AND file_modified = modified THEN 'skip' ELSE 'reingest' END AS action FROM o LEFT JOIN i ON o.id = i.id WHERE rank = 1)"
 
 #: name: (query, SQL or None)
 _CATALOG = {
@@ -252,7 +273,7 @@ _CATALOG = {
         lambda s, d: delta.reused_blocks(*_move(s, d)).select(F.expr(HEX).alias("hash"), "length", "first_pos"),
         f"WITH {_GRID_SQL} SELECT hash, any_value(length) AS length, min(pos) AS first_pos FROM n WHERE hash IN (SELECT hash FROM b) GROUP BY hash",
     ),
-    "blocks_in_request_order": (request_order, f"WITH {_GRID_SQL} SELECT -doc_id AS seq, hash, length FROM b WHERE seq = 0"),
+    "blocks_in_request_order": (request_order, f"WITH {_GRID_SQL} SELECT -doc_id * 16777216 + seq AS seq, hash, length FROM b"),
     "transfer_metrics_grid": (
         lambda s, d: delta.transfer_metrics(*_move(s, d)),
         f"""WITH {_GRID_SQL}, o AS (SELECT hash, any_value(length)::BIGINT AS length, hash IN (SELECT hash FROM b) AS have FROM n GROUP BY hash),
@@ -260,7 +281,7 @@ m AS (SELECT count(*) AS blocks_needed, count(*) FILTER (NOT have) AS blocks_mis
 SELECT *, block_bytes AS transferred_bytes, block_bytes + blocks_missing * 37 + 17 AS wire_bytes, CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - block_bytes::DOUBLE / size END AS saved_fraction,
 CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - (block_bytes + blocks_missing * 37 + 17)::DOUBLE / size END AS wire_saved_fraction, CASE WHEN block_bytes = 0 THEN 1 ELSE (block_bytes + blocks_missing * 37 + 17)::DOUBLE / block_bytes END AS compression_ratio FROM m""",
     ),
-    "reassemble_verify": (reassemble_verify, "SELECT doc_id, sha256(text) AS sha256, true AS verified FROM documents WHERE text <> ''"),
+    "reassemble_verify": (reassemble_verify, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, true AS verified FROM documents"),
     "frame_verify": (
         frame_verify,
         f"WITH {_GRID_SQL} SELECT doc_id, count(*) AS frames, sum(length)::BIGINT AS bytes, count(*) FILTER ((doc_id + seq) % 13 <> 0) AS matching, (count(*) * 37 + 17 + sum(length))::BIGINT AS stream_bytes FROM b GROUP BY doc_id",
@@ -286,33 +307,24 @@ CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - (block_bytes + blocks_missing * 37
         "WITH h AS (SELECT p_size, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part) SELECT (((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 9 + 9) % 9)::BIGINT AS bucket, sum(p_size)::BIGINT AS bytes, count(*) AS files FROM h GROUP BY 1",
     ),
     "version_ids": (
-        lambda s, d: _values(s, _NAMES, "name").select("name", scalars.version_id(F.col("name")).alias("id"), scalars.not_transient(F.col("name")).alias("listed")),
-        f"SELECT name, {_ID} AS id, NOT (starts_with(lower(name), '.') OR regexp_matches(lower(name), '[.](part|tmp|crdownload)$')) AS listed FROM (VALUES {_SQL_NAMES}) t(name)",
+        lambda s, d: _of(s, d, "part", "p_partkey", f"{_NAME} AS name").select("p_partkey", scalars.version_id(F.col("name")).alias("id"), scalars.not_transient(F.col("name")).alias("listed")),
+        f"SELECT p_partkey, CASE WHEN strpos(reverse(name), '.') = 0 OR strpos(reverse(name), '.') = len(name) THEN name ELSE left(name, len(name) - strpos(reverse(name), '.')) END AS id, NOT (left(name, 1) = '.' OR lower(right(name, 5)) = '.part' OR lower(right(name, 4)) = '.tmp' OR lower(right(name, 11)) = '.crdownload') AS listed FROM (SELECT p_partkey, {_NAME} AS name FROM part)",
     ),
-    "sanitise_names": (lambda s, d: _values(s, _NAMES, "name").select("name", scalars.sanitise(F.col("name")).alias("sane")), f"SELECT name, {_SANE} AS sane FROM (VALUES {_SQL_NAMES}) t(name)"),
+    "sanitise_names": (lambda s, d: _of(s, d, "part", "p_partkey", f"{_NAME} AS name").select("p_partkey", scalars.sanitise(F.col("name")).alias("sane")), f"SELECT p_partkey, {_SANE} AS sane FROM (SELECT p_partkey, {_NAME} AS name FROM part)"),
     "sniff_format": (
-        lambda s, d: _values(s, _HEADS, "head, length").select("head", "length", scalars.sniff(F.unhex("head"), F.col("length")).alias("format")),
-        f"SELECT head, length, CASE WHEN length < 22 THEN NULL WHEN head LIKE '504B0304%' OR head LIKE '504B0506%' THEN 'ZIP' WHEN head LIKE '4D534346%' THEN 'CAB' WHEN head LIKE '377ABCAF271C%' THEN 'SEVEN_Z' END AS format FROM (VALUES {_HEADS}) t(head, length)",
+        lambda s, d: _of(s, d, "orders", "o_orderkey", f"{_HEAD} AS head", "o_custkey % 50 AS length").select("o_orderkey", scalars.sniff(F.unhex("head"), F.col("length")).alias("format")),
+        f"SELECT o_orderkey, CASE WHEN o_custkey % 50 < 22 THEN NULL ELSE ['ZIP', 'ZIP', 'CAB', 'SEVEN_Z', NULL, NULL, NULL][o_orderkey % 7 + 1] END AS format FROM orders",
     ),
     "parse_bytes": (
-        lambda s, d: _values(s, _SIZES, "text").select("text", scalars.parse_bytes(F.col("text")).alias("bytes")),
-        f"WITH t AS (SELECT text, regexp_extract(lower(text), '^[ ]*([0-9]+(?:[.,][0-9]+)?)[ ]*([kmgt]?)(?:i?b)?[ ]*$', ['n', 'u']) AS m FROM (VALUES {_SIZES}) t(text)) SELECT text, floor(try_cast(replace(m.n, ',', '.') AS DOUBLE) * CASE m.u WHEN 'k' THEN 1024.0 WHEN 'm' THEN 1048576.0 WHEN 'g' THEN 1073741824.0 WHEN 't' THEN 1099511627776.0 ELSE 1.0 END)::BIGINT AS bytes FROM t",
+        lambda s, d: _of(s, d, "orders", "o_orderkey", f"{_SIZE_TEXT} AS text").select("o_orderkey", scalars.parse_bytes(F.col("text")).alias("bytes")),
+        "SELECT o_orderkey, floor(CASE o_orderkey % 13 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey * 1024 WHEN 2 THEN (o_custkey + 0.5) * 1048576 WHEN 3 THEN (o_custkey + 0.25) * 1073741824 WHEN 4 THEN o_custkey * 1099511627776 WHEN 5 THEN o_custkey * 1024 WHEN 7 THEN o_custkey WHEN 12 THEN o_custkey * 1048576 END)::BIGINT AS bytes FROM orders",
     ),
     "human_size": (lambda s, d: _docs(s, d).select("doc_id", scalars.human(F.octet_length("text")).alias("size")), f"SELECT doc_id, {_HUMAN.format('strlen(text)')} AS size FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"),
     "cache_key": (lambda s, d: _docs(s, d).select("doc_id", scalars.cache_key(F.sha2("text", 256), CDC, 512 << 20).alias("key")), "SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 24) || '-256-1024-7z536870912' AS key FROM documents"),
     "html_escape": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(scalars.escape_html(F.col("html")), 256).alias("escaped")), "SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped FROM pages"),
-    "accepts_gzip": (lambda s, d: _values(s, "('gzip'), ('br, GZIP;q=0'), ('identity'), (NULL)", "h").select("h", scalars.accepts_gzip(F.col("h")).alias("ok")), "SELECT h, coalesce(contains(lower(h), 'gzip'), false) AS ok FROM (VALUES ('gzip'), ('br, GZIP;q=0'), ('identity'), (NULL)) t(h)"),
-    "id_collisions": (
-        lambda s, d: store.first_version_wins(_values(s, _FILES, "path, name, length, modified").filter(scalars.not_transient(F.col("name"))).withColumn("id", scalars.version_id(F.col("name")))).select("path", "id", "rank"),
-        f"SELECT path, {_ID} AS id, row_number() OVER (PARTITION BY {_ID} ORDER BY path)::INT AS rank FROM (VALUES {_FILES}) t(path, name, length, modified) WHERE name NOT LIKE '%.part'",
-    ),
-    "pending_scan": (
-        lambda s, d: scan.pending(
-            store.first_version_wins(_values(s, _FILES, "path, name, length, modified").filter(scalars.not_transient(F.col("name"))).withColumn("id", scalars.version_id(F.col("name")))).filter("rank = 1"),
-            _values(s, _INDEX, "id, size, file_modified, bp"), _values(s, _INDEX, "id, size, file_modified, bp").filter("bp").select("id"),
-        ).select("id", "path", "action"),
-        f"WITH f AS (SELECT *, {_ID} AS id FROM (VALUES {_FILES}) t(path, name, length, modified) WHERE name NOT LIKE '%.part'), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY path) = 1) SELECT o.id, path, CASE WHEN i.id IS NULL THEN 'new' WHEN bp AND size = length AND file_modified IS NULL THEN 'adopt' WHEN bp AND size = length AND file_modified = modified THEN 'skip' ELSE 'reingest' END AS action FROM o LEFT JOIN (VALUES {_INDEX}) i(id, size, file_modified, bp) ON o.id = i.id",
-    ),
+    "accepts_gzip": (lambda s, d: _of(s, d, "events", "event_id", f"{_ACCEPT} AS h").select("event_id", scalars.accepts_gzip(F.col("h")).alias("ok")), f"SELECT event_id, coalesce(lower({_ACCEPT}) LIKE '%gzip%', false) AS ok FROM events"),
+    "id_collisions": (lambda s, d: _files(s, d).select("path", "id", "rank"), f"WITH {_FILES_SQL} SELECT path, id, rank FROM o"),
+    "pending_scan": (_pending, f"{_PENDING_SQL} SELECT * FROM p"),
     "hash_parse": (
         lambda s, d: _docs(s, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("xyz")).otherwise(F.sha2("text", 256)).alias("hex")).select("doc_id", scalars.hash_hex(scalars.parse_hash(F.upper("hex"))).alias("hash")),
         "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE sha256(coalesce(text, '')) END AS hash FROM documents",
@@ -329,8 +341,8 @@ CASE WHEN size = 0 THEN 0 ELSE 1.0::DOUBLE - (block_bytes + blocks_missing * 37
         "WITH m AS (SELECT source || '-' || doc_id % 100 AS version_id, doc_id, text FROM documents) SELECT version_id, 'm/' || doc_id AS name, doc_id AS part_index, sha256(coalesce(text, '')) AS content FROM m WHERE version_id NOT IN (SELECT version_id FROM m WHERE doc_id % 10 = 3)",
     ),
     "rescan_counts": (
-        lambda s, d: _CATALOG["pending_scan"][0](s, d).agg(F.count_if(F.col("action").isin("new", "reingest")).alias("ingested"), F.count("*").alias("total")),
-        "SELECT 2::BIGINT AS ingested, 4::BIGINT AS total",
+        lambda s, d: _pending(s, d).agg(F.count_if(F.col("action").isin("new", "reingest")).alias("ingested"), F.count("*").alias("total")),
+        f"{_PENDING_SQL} SELECT count(*) FILTER (action IN ('new', 'reingest')) AS ingested, count(*) AS total FROM p",
     ),
     "received_totals": (
         lambda s, d: grid(_docs(s, d), "source").groupBy("source").agg(F.count("*").alias("frames"), F.sum(F.col("length").cast("long")).alias("bytes")).withColumn("wire_bytes", F.col("bytes") + scalars.framing_overhead(F.col("frames"))),
