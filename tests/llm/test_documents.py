@@ -200,7 +200,6 @@ def ids_of(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return [(d, x.ids) for (d, *_), x in zip(ROWS, t.encode_batch([r[1] or "" for r in ROWS], add_special_tokens=False))]
 
 
