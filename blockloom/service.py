@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import ssl
 import threading
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import model
@@ -15,7 +19,7 @@ from .functions import chunker
 from .functions.scalars import parse_size
 from .operators import delta
 from .sources import index, wire
-from .versions import VersionStore, fetch_full
+from .versions import VersionStore, open_full
 
 #: Fixed values of the interface: media types and header names.
 BLOCKS, BLUEPRINT = "application/x-jdt-blocks", "application/x-jdt-blueprint"
@@ -62,25 +66,31 @@ class Service:
             return self._stream(self._full(info), accept, headers | {H_SIZE: str(info.size), H_MAX: str(self.store.params.max)})
         return self._text(404, "not found")
 
-    def _blocks(self, body: bytes) -> bytes:
-        """Blocks in the order asked for; one that is not there fails before anything is sent."""
+    def _blocks(self, body: bytes) -> Iterator[bytes]:
+        """Blocks in the order asked for, one partition at a time; where one isn't there the answer is an error before anything is sent."""
         spark, hashes = self.store.spark, wire.read_hash_list(body)
         ask = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(hashes)], "seq int, hash binary")
-        frames = delta.fetch(ask, self.store.store.find(ask)).orderBy("seq").toLocalIterator()
-        return b"".join(wire.write_frames(((bytes(r.hash), bytes(r.payload)) for r in frames), self.store.params.max))
+        if self.store.store.contains(ask.select("hash").distinct()).count() < len(set(hashes)):
+            raise ValueError("a block that the store doesn't have")
+        rows = delta.fetch(ask, self.store.store.find(ask)).orderBy("seq").toLocalIterator()
+        return wire.write_frames(((bytes(r.hash), bytes(r.payload)) for r in rows), self.store.params.max)
 
-    def _full(self, info) -> bytes:
-        import hashlib
+    def _full(self, info) -> Iterator[bytes]:
+        """The archive's bytes, cut as they are read: of its file they are never held whole."""
 
-        data = fetch_full(self.store, info.id)
-        ends = chunker.cut_points(data, self.store.params)
-        blocks = (data[a:b] for a, b in zip([0, *ends], ends))
-        return b"".join(wire.write_frames(((hashlib.sha256(b).digest(), b) for b in blocks), self.store.params.max))
+        def blocks() -> Iterator[tuple[bytes, bytes]]:
+            cutter = chunker.PushChunker(self.store.params)
+            with open_full(self.store, info.id) as f:
+                while data := f.read(1 << 20):
+                    yield from ((hashlib.sha256(b).digest(), b) for b in cutter.feed(data))
+            yield from ((hashlib.sha256(b).digest(), b) for b in cutter.close())
 
-    def _stream(self, raw: bytes, accept: str | None, headers: dict):
+        return wire.write_frames(blocks(), self.store.params.max)
+
+    def _stream(self, parts: Iterator[bytes], accept: str | None, headers: dict):
         if self.compress and accept and "gzip" in accept.lower():
-            return 200, BLOCKS, headers | {"Content-Encoding": "gzip"}, wire.gzip(raw, self.compress)
-        return 200, BLOCKS, headers, raw
+            return 200, BLOCKS, headers | {"Content-Encoding": "gzip"}, wire.gzip_stream(parts, self.compress)
+        return 200, BLOCKS, headers, parts
 
     def _client_config(self) -> dict:
         return {"hashAlgorithm": model.HASH_ALGORITHM, "maxBlockSize": self.store.params.max}
@@ -111,17 +121,31 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 0, admin: bool
     """Start a port in a thread; the server's shutdown() ends it."""
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def _do(self, method: str) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             try:
                 status, kind, headers, data = service.answer(method, self.path, body, self.headers.get("Accept-Encoding"), admin)
+                first = b"" if isinstance(data, bytes) else next(data, b"")
             except Exception as e:  # the boundary of a request: the client gets a 500, the server lives on
                 status, kind, headers, data = 500, "text/plain; charset=utf-8", {}, f"error: {type(e).__name__}".encode()
+            whole = isinstance(data, bytes)
             self.send_response(status)
-            for k, v in ({"Content-Type": kind, "Content-Length": str(len(data))} | headers).items():
+            length = {"Content-Length": str(len(data))} if whole else {"Transfer-Encoding": "chunked"}
+            for k, v in ({"Content-Type": kind} | length | headers).items():
                 self.send_header(k, v)
             self.end_headers()
-            self.wfile.write(data)
+            if whole:
+                self.wfile.write(data)
+                return
+            try:
+                for part in chain([first], data):
+                    if part:
+                        self.wfile.write(f"{len(part):x}\r\n".encode() + part + b"\r\n")
+                self.wfile.write(b"0\r\n\r\n")
+            except Exception:  # the status is sent: the stream stays without its end, which the client sees
+                self.close_connection = True
 
         def do_GET(self) -> None:
             self._do("GET")
@@ -176,18 +200,24 @@ def options(argv: list[str]) -> dict[str, str]:
 
 
 def main(argv: list[str]) -> int:
-    """server --store DIR --archives DIR [--port N --admin-port N --avg SIZE --max SIZE --cert FILE --key FILE --client-ca FILE], gen --out DIR --count N --start SIZE."""
-    command, o = argv[0] if argv else "", options(argv[1:])
+    """server --store DIR --archives DIR [--port N --admin-port N --avg SIZE --max SIZE --cert FILE --key FILE --client-ca FILE],
+    gen --out DIR --count N --start SIZE [--outer zip|cab|7z --seven-z], client list|info|config|fetch|hash (see blockloom.client)."""
+    command = argv[0] if argv else ""
+    o = options(argv[1:]) if command != "client" else {}
     if command == "gen":
         from . import generator
 
-        for k, files in enumerate(generator.manifests(int(o.get("count", "3")), parse_size(o.get("start", "12MB")))):
-            with open(f"{o['out']}/v{k + 1:02d}.zip", "wb") as f:
-                f.write(generator.archive(files))
+        outer = o.get("outer", "zip")
+        spark = SparkSession.builder.getOrCreate() if outer == "7z" or "seven-z" in o else None
+        for k, files in enumerate(generator.manifests(int(o.get("count", "3")), parse_size(o.get("start", "12MB")), seven_z="seven-z" in o)):
+            with open(f"{o['out']}/v{k + 1:02d}.{outer}", "wb") as f:
+                f.write(generator.archive(files, outer, spark=spark))
         return 0
-    if command == "server":
-        from pyspark.sql import SparkSession
+    if command == "client":
+        from . import client
 
+        return client.main(argv[1:])
+    if command == "server":
         params = model.ChunkParams.of(parse_size(o.get("avg", "64k")), parse_size(o.get("max", "4m")))
         store = VersionStore(SparkSession.builder.getOrCreate(), o["store"], o["archives"], params, force="force-reindex" in o)
         print(store.rescan())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip as _gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,31 +25,42 @@ def write_frames(blocks: Iterable[tuple[bytes, bytes]], max_block: int) -> Itera
     yield END + frames.to_bytes(8, "big") + total.to_bytes(8, "big")
 
 
-def read_frames(data: bytes, max_block: int) -> list[tuple[bytes, bytes]]:
-    out, at = [], 0
-    while True:
-        tag = data[at : at + 1]
-        if not tag:
-            raise ValueError("truncated: the stream ends before its trailer")
-        if tag == END:
-            if len(data) < at + 17:
-                raise ValueError("truncated trailer")
-            want = int.from_bytes(data[at + 1 : at + 9], "big"), int.from_bytes(data[at + 9 : at + 17], "big")
-            if want != (len(out), sum(len(p) for _, p in out)):
-                raise ValueError(f"the trailer promises {want}")
-            return out
+def _exactly(stream, n: int, what: str) -> bytes:
+    parts, left = [], n
+    while left:
+        data = stream.read(left)
+        if not data:
+            raise ValueError(f"truncated {what}")
+        parts.append(data)
+        left -= len(data)
+    return b"".join(parts)
+
+
+def frames(stream, max_block: int) -> Iterator[tuple[bytes, bytes]]:
+    """(hash, payload) pairs of a file-like stream, each verified, one held at a time. A stream that ends before its trailer,
+    or whose trailer has other counts, fails."""
+    count = total = 0
+    while (tag := _exactly(stream, 1, "stream: it ends before its trailer")) != END:
         if tag != FRAME:
             raise ValueError(f"unknown tag {tag!r}")
-        hash_, n = data[at + 1 : at + 33], int.from_bytes(data[at + 33 : at + 37], "big", signed=True)
+        head = _exactly(stream, 36, "frame")
+        n = int.from_bytes(head[32:], "big", signed=True)
         if not 0 <= n <= max_block:
             raise ValueError(f"a block of {n} bytes, the limit is {max_block}")
-        payload = data[at + 37 : at + 37 + n]
-        if len(payload) != n:
-            raise ValueError("truncated block")
-        if hashlib.sha256(payload).digest() != hash_:
+        payload = _exactly(stream, n, "block")
+        if hashlib.sha256(payload).digest() != head[:32]:
             raise ValueError("a block does not match its hash")
-        out.append((hash_, payload))
-        at += 37 + n
+        count += 1
+        total += n
+        yield head[:32], payload
+    end = _exactly(stream, 16, "trailer")
+    want = int.from_bytes(end[:8], "big"), int.from_bytes(end[8:], "big")
+    if want != (count, total):
+        raise ValueError(f"the trailer promises {want}")
+
+
+def read_frames(data: bytes, max_block: int) -> list[tuple[bytes, bytes]]:
+    return list(frames(io.BytesIO(data), max_block))
 
 
 def write_hash_list(hashes: list[bytes]) -> bytes:
@@ -69,3 +81,36 @@ def gzip(data: bytes, level: int = 1) -> bytes:
 
 def gunzip(data: bytes) -> bytes:
     return zlib.decompress(data, 31)
+
+
+def gzip_stream(parts: Iterable[bytes], level: int = 1) -> Iterator[bytes]:
+    """The parts as one gzip member, sent as it is made; level 0 sends them as they are."""
+    if not level:
+        yield from parts
+        return
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    for p in parts:
+        if out := z.compress(p):
+            yield out
+    yield z.flush()
+
+
+class Counting:
+    """A stream that counts what is read from it, before any decoding."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.count = stream, 0
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.stream.read(n)
+        self.count += len(data)
+        return data
+
+
+def plain(stream, encoding: str | None):
+    """The stream without its content encoding: gzip, or none."""
+    if encoding in (None, "", "identity"):
+        return stream
+    if encoding.lower() != "gzip":
+        raise ValueError(f"unknown encoding: {encoding}")
+    return _gzip.GzipFile(fileobj=stream)

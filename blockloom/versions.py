@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import shutil
 import time
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,10 @@ class VersionStore:
         finally:
             shutil.rmtree(scratch, ignore_errors=True)
 
+    def send(self, ask: DataFrame) -> DataFrame:
+        """hash, length, payload for a request (seq, hash); a hash that isn't there fails the query."""
+        return delta.fetch(ask, self.store.find(ask)).select("hash", "length", "payload")
+
     def rebuild(self, id_: str) -> bytes:
         """The archive, verified."""
         b = blueprint.from_bytes(self.blueprint(id_))
@@ -125,20 +131,26 @@ def rebuild_blueprint(spark: SparkSession, b: blueprint.Blueprint, *sources: Dat
     return data
 
 
-def fetch_full(server: VersionStore, id_: str) -> bytes:
-    """The whole archive: the file it came from where that is still the published one, else rebuilt and verified."""
+def open_full(server: VersionStore, id_: str) -> BinaryIO:
+    """The archive as a stream: the file it came from where that is still the published one, else rebuilt and verified."""
     info = server.version(id_)
     path = os.path.join(server.archives, info.file_name)
     if os.path.exists(path):
-        with open(path, "rb") as f:
-            data = f.read()
-        if hashlib.sha256(data).hexdigest() == info.sha256:
-            return data
-    return server.rebuild(id_)
+        f = open(path, "rb")
+        if hashlib.file_digest(f, "sha256").hexdigest() == info.sha256:
+            f.seek(0)
+            return f
+        f.close()
+    return io.BytesIO(server.rebuild(id_))
+
+
+def fetch_full(server: VersionStore, id_: str) -> bytes:
+    with open_full(server, id_) as f:
+        return f.read()
 
 
-def fetch_delta(server: VersionStore, base: bytes, id_: str, cache: str, mode: RepackMode = RepackMode.ORIGINAL, target: str | None = None, keep: bool = False) -> dict:
-    """Move from `base` to a version of the store: index the base by the publisher's own parameters (or find it indexed
+def fetch_delta(server, base: bytes, id_: str, cache: str, mode: RepackMode = RepackMode.ORIGINAL, target: str | None = None, keep: bool = False) -> dict:
+    """Move from `base` to a version of `server`, a VersionStore or a client.Remote: index the base by the publisher's own parameters (or find it indexed
     under its cache key), fetch what is missing, rebuild, hand the cache over to the new version's key. Returns metrics
     and, in the original shape, the archive."""
     spark, info, raw = server.spark, server.version(id_), server.blueprint(id_)
@@ -159,7 +171,7 @@ def fetch_delta(server: VersionStore, base: bytes, id_: str, cache: str, mode: R
     need = tree.in_blueprint_order(refs, ["path", "seq"])
     missing = delta.missing_blocks(need, local.blocks())
     ask = missing.select(F.col("first_pos").alias("seq"), "hash")
-    got = delta.fetch(ask, server.store.find(ask)).select("hash", "length", "payload")
+    got = server.send(ask)
     incoming = BlockStore(spark, f"file://{cache}/incoming-{id_}", b.params)
     try:
         if incoming.append(got) + incoming.count() < missing.count():
