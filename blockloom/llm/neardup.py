@@ -54,11 +54,22 @@ def signatures(docs: DataFrame, bins: int = BINS, bands: int = BANDS) -> DataFra
 
 def _members(nodes: DataFrame) -> DataFrame:
     """(cell, node, far): the buckets with two members or more; far orders the members of a bucket, the most central first
-    (the one with most company in all its buckets), so the stars of a group mostly share their center."""
-    flat = nodes.select("node", F.explode("bands").alias("cell"))
-    sizes = materialise(flat.groupBy("cell").agg(F.count("*").alias("w")).filter("w > 1"), "buckets")
-    total = sizes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    m = materialise(lookup(flat, sizes.withColumn("company", F.col("w")), ["cell"], "inner", "w", total), "members")
+    (the one with most company in all its buckets), so the stars of a group mostly share their center.
+
+    Buckets with over 1/HOT_PARTS of all (node, bucket) rows, fewer than HOT_PARTS by that very bound, are known by name, so a
+    node's array of buckets is parted before it is exploded: their rows meet them by broadcast, all others by a shuffle."""
+    sizes = materialise(nodes.select(F.explode("bands").alias("cell")).groupBy("cell").agg(F.count("*").alias("w")).filter("w > 1"), "buckets")
+    total = nodes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    hot = F.col("w") * HOT_PARTS > total
+
+    def rows(bands, cells: DataFrame) -> DataFrame:
+        return nodes.select("node", F.explode(bands).alias("cell")).join(cells, "cell").withColumnRenamed("w", "company")
+
+    m, names = rows(F.col("bands"), sizes), [r.cell for r in sizes.filter(hot).select("cell").collect()]
+    if names:
+        known = F.lit(names).cast("array<long>")
+        m = rows(F.array_except("bands", known), sizes.filter(~hot)).unionByName(rows(F.array_intersect("bands", known), F.broadcast(sizes.filter(hot))))
+    m = materialise(m, "members")
     far = m.groupBy("node").agg((-F.sum("company")).alias("far"))
     return m.select("cell", "node").join(far, "node")
 
