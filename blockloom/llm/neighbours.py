@@ -354,9 +354,21 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RE
     tree = Tree(picked, least=max(LEAF, LEAF_ROWS * len(picked) // total))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = tree.assign(_array(b.column("v"), dim, kind)) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), b.column("ids"), pa.array(leaf, pa.int64())], ["d", "v", "ids", "leaf"])
+        def placed(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaf, at = tree.assign(np.concatenate([_array(b.column("v"), dim, kind) for b in some])), 0
+            for b in some:
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), b.column("ids"), pa.array(leaf[at : at + b.num_rows], pa.int64())], ["d", "v", "ids", "leaf"])
+                at += b.num_rows
+
+        some, n = [], 0
+        for b in batches:  # many rows go down the tree together: a step costs as much for one
+            some.append(b)
+            n += b.num_rows
+            if n * dim >= NUMBERS:
+                yield from placed(some)
+                some, n = [], 0
+        if n:
+            yield from placed(some)
 
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     cells = first.groupBy("d").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
